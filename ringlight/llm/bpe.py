@@ -244,3 +244,20 @@ def round_trip(df: DataFrame, path: str, text: str = "text", keys: tuple[str, ..
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read_table(spark, sf_dir, "documents"), default_vocabulary())
+
+
+def encoded_documents(df: DataFrame, path: str, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keys``, the ids of every whole text, their number and digest, and the digest of what they decode to."""
+    model = df.sparkSession.sparkContext.broadcast(Bpe(path))
+
+    def make():
+        bpe = model.value
+
+        def f(texts, _):
+            lists = bpe.encode(texts)
+            sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+            return {"n_tokens": [len(x) for x in lists], "ids": lists, "ids_sha256": [sha(",".join([bpe.names[i] for i in x])) for x in lists], "decoded_sha256": list(map(sha, bpe.decode(lists)))}
+
+        return f
+
+    return map_texts(df, make, "n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string", text, keys, as_bytes=False, limit=1 << 20)

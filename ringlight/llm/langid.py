@@ -130,3 +130,20 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     out = predict(docs, fit(training_rows(docs)))
     return out.select("doc_id", (crc_remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def accepted(df: DataFrame, model: LanguageModel, text: str = "text", least: float = 0.5) -> DataFrame:
+    """Rows, with all their columns, whose text has a language and is at least ``least`` sure of it."""
+    import pandas as pd
+
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def sure(s: pd.Series) -> pd.Series:
+        out = []
+        for lo in range(0, len(s), 256):
+            langs, scores = shared.value.predict(["" if x is None else x for x in s.iloc[lo : lo + 256]])
+            out += [g != UNKNOWN and x >= least for g, x in zip(langs, scores, strict=True)]
+        return pd.Series(out, dtype=bool)
+
+    return df.where(sure(F.col(text)))
