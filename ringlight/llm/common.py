@@ -10,6 +10,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,7 +56,7 @@ def map_array(path: str, dtype) -> np.ndarray:
 def text_blocks(batch: pa.RecordBatch, column: str, as_bytes: bool, limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Slices of a batch with their texts (null: empty), about ``limit`` bytes each."""
     texts = batch.column(batch.schema.get_field_index(column))
-    sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     if as_bytes:
         texts = texts.cast(pa.binary())
     empty = b"" if as_bytes else ""

@@ -20,6 +20,7 @@ from collections import Counter
 from itertools import chain, repeat
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -224,8 +225,6 @@ def clean_rows(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
 
 
 def _clean(index):
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def clean(s: pd.Series) -> pd.Series:
         out = []

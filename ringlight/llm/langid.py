@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,8 +135,6 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def accepted(df: DataFrame, model: LanguageModel, text: str = "text", least: float = 0.5) -> DataFrame:
     """Rows, with all their columns, whose text has a language and is at least ``least`` sure of it."""
-    import pandas as pd
-
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")

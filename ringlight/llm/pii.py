@@ -17,6 +17,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -364,7 +365,7 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(trained())
 
     @F.pandas_udf("string")
-    def clean(s):
+    def clean(s: pd.Series) -> pd.Series:
         values = ["" if x is None else x for x in s]
         new = []
         for lo in range(0, len(values), 256):

@@ -22,6 +22,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,7 +82,7 @@ def blocks_of(batches, gone: HashRanges | None):
     """(doc ids, start and end of each text, all bytes) of blocks, without texts too short and later copies."""
     for batch in batches:
         for block, texts in text_blocks(batch, "text", True, TEXT_BYTES):
-            ids = pa.compute.fill_null(block.column(0), NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = pc.fill_null(block.column(0), NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
             keep = np.array([len(t) >= LENGTH for t in texts])
             if gone is not None and keep.any():
                 keys = mixed(ids.view(np.uint64))
