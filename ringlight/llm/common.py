@@ -96,6 +96,22 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list, pa.RecordBatch],
     return df.mapInArrow(run, schema)
 
 
+def map_rows(df: DataFrame, make: Callable[[], Callable[[list, pa.RecordBatch], pa.RecordBatch]], text: str = "text", as_bytes: bool = False, limit: int = BLOCK_BYTES) -> DataFrame:
+    """Rows with all their columns, changed or filtered a block at a time by a worker's function of the block's
+    texts (null: empty) and the block."""
+    schema = df.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        gc.disable()
+        for batch in batches:
+            gc.collect()
+            for block, texts in text_blocks(batch, text, as_bytes, limit):
+                yield f(texts, block)
+
+    return df.mapInArrow(run, schema)
+
+
 def crc_remainder(doc_id: str | Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty string."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -20,11 +20,11 @@ from collections import Counter
 from itertools import chain, repeat
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, read_table
+from .common import map_rows, map_texts, read_table
 
 K1, B, THRESHOLD, OVERLAP = 1.2, 0.75, 0.6, 0.5
 #: Items of a block, and bytes of item text that one broadcast index may hold.
@@ -220,16 +220,9 @@ def clean_rows(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
         rows = [tuple(r) for r in items.where(F.pmod(F.xxhash64("i"), F.lit(slices)) == part).collect()]  # at most about index_bytes
         index = df.sparkSession.sparkContext.broadcast(Index(rows))
 
-        df = df.where(_clean(index)(F.col(text)))
-    return df
-
 
-def _clean(index):
-    @F.pandas_udf("boolean")
-    def clean(s: pd.Series) -> pd.Series:
-        out = []
-        for lo in range(0, len(s), 256):
-            out += [not found for _, found in index.value.search(["" if x is None else x for x in s.iloc[lo : lo + 256]])]
-        return pd.Series(out, dtype=bool)
+        def make(index=index):
+            return lambda texts, block: block.filter(pa.array([not found for _, found in index.value.search(texts)], pa.bool_()))
 
-    return clean
+        df = map_rows(df, make, text, limit=1 << 20)
+    return df

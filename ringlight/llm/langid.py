@@ -12,11 +12,11 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, map_texts, read_table
+from .common import crc_remainder, map_rows, map_texts, read_table
 
 #: Lengths of the n-grams, buckets of their hashes, and what is added to each count.
 ORDERS, BUCKETS, SMOOTHING = (1, 2, 3), 1 << 14, 0.5
@@ -47,8 +47,6 @@ def counts(df: DataFrame, text: str, lang: str) -> DataFrame:
     df = df.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
 
     def run(batches):
-        import pyarrow as pa
-
         from .common import text_blocks
 
         sums: dict[str, np.ndarray] = {}
@@ -137,12 +135,11 @@ def accepted(df: DataFrame, model: LanguageModel, text: str = "text", least: flo
     """Rows, with all their columns, whose text has a language and is at least ``least`` sure of it."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def sure(s: pd.Series) -> pd.Series:
-        out = []
-        for lo in range(0, len(s), 256):
-            langs, scores = shared.value.predict(["" if x is None else x for x in s.iloc[lo : lo + 256]])
-            out += [g != UNKNOWN and x >= least for g, x in zip(langs, scores, strict=True)]
-        return pd.Series(out, dtype=bool)
+    def make():
+        def f(texts, block):
+            langs, scores = shared.value.predict(texts)
+            return block.filter(pa.array([g != UNKNOWN and bool(x >= least) for g, x in zip(langs, scores, strict=True)], pa.bool_()))
+
+        return f
 
-    return df.where(sure(F.col(text)))
+    return map_rows(df, make, text, limit=1 << 20)

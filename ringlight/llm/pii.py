@@ -17,11 +17,11 @@ import random
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, read_table
+from .common import map_rows, map_texts, read_table
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
@@ -364,16 +364,16 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """All columns, with the personal data of ``text`` replaced; a null text stays null."""
     shared = df.sparkSession.sparkContext.broadcast(trained())
 
-    @F.pandas_udf("string")
-    def clean(s: pd.Series) -> pd.Series:
-        values = ["" if x is None else x for x in s]
-        new = []
-        for lo in range(0, len(values), 256):
-            part = values[lo : lo + 256]
-            new += [redacted(t, a) for t, (_, a) in zip(part, find(part, shared.value), strict=True)]
-        return s.where(s.isna(), new)
+    def make():
+        def f(texts, block):
+            at = block.schema.get_field_index(text)
+            old = block.column(at)
+            new = pa.array([redacted(t, a) for t, (_, a) in zip(texts, find(texts, shared.value), strict=True)], old.type, mask=old.is_null().to_numpy(zero_copy_only=False))
+            return block.set_column(at, block.schema.field(at), new)
+
+        return f
 
-    return df.withColumn(text, clean(F.col(text)))
+    return map_rows(df, make, text)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
