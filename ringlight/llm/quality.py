@@ -138,3 +138,27 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ledger(read_table(spark, sf_dir, "documents"))
     base = mask("base-1")
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (F.col("failed").bitwiseAND(F.lit(base)) != 0).alias("base_failed"), kept("strict-2").alias("kept"), "failed")
+
+
+def _fails(rule: Rule) -> str:
+    return f"{rule.numerator} < {rule.least}" if rule.least else f"{rule.numerator} * {rule.per} > {rule.denominator} * {rule.most}"
+
+
+_BITS = " + ".join(f"CASE WHEN {_fails(r)} THEN {1 << i} ELSE 0 END" for i, r in enumerate(RULES))
+SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM d),
+e AS (SELECT doc_id, unnest(words) AS a, generate_subscripts(words, 1) AS i FROM w),
+g AS (SELECT doc_id, i, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM e WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM g WHERE c IS NOT NULL),
+repeats AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM r, (VALUES (0), (1), (2)) AS s(k) WHERE n > 1 GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) AS n_lines, count(DISTINCT line) AS n_kinds FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)
+      WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+m AS (SELECT doc_id, len(words) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+      coalesce(n_lines - n_kinds, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
+      length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) - length(regexp_replace(t, '[\x00-\x40\x5B-\x60\x7B-\x7F]', '', 'g')) AS n_nonletters
+      FROM d JOIN w USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN repeats USING (doc_id)),
+f AS (SELECT *, {_BITS} AS failed FROM m)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+       CAST(n_repeat_words AS BIGINT) AS n_repeat_words, failed & {mask("base-1")} <> 0 AS base_failed, failed & {mask("strict-2")} = 0 AS kept, CAST(failed AS BIGINT) AS failed FROM f
+"""
