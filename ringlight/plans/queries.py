@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing, normalize, similarity
-from ..operators import alerts, crossbank, evaluation, features, graph
+from ..operators import alerts, crossbank, evaluation, features, graph, models
 from ..operators.components import connected_components
 from ..operators.snapshot import snapshot
 from ..session import checkpointed, ship_package
@@ -278,3 +278,33 @@ def cross_bank_reuse(t):
 @query
 def encrypted_reuse(t):
     return crossbank.encrypted_reuse(_holdings(t))
+
+
+MODEL_COLUMNS = ["app_tenure_days", "app_income", "beh_months", "beh_late_count", "beh_limit_growth", "beh_util_mean", "beh_pay_mean", "beh_txn_mean", "beh_cash_share"]
+
+
+def _training(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Rows to train on (three of four folds by hash) and all rows; the target is confirmation by T."""
+    rows = _features(t).join(_known(t).distinct().withColumn("y", F.lit(1)), "person_id", "left").withColumn("y", F.coalesce("y", F.lit(0)))
+    rows = checkpointed(rows)
+    return rows.where(hashing.uniform(SEED, F.col("person_id")) < 0.75), rows
+
+
+@query
+def logistic_scores(t):
+    train, rows = _training(t)
+    return models.logistic_head(train, rows, MODEL_COLUMNS, "y").select("person_id", "y", "score")
+
+
+@query
+def gbt_scores(t):
+    train, rows = _training(t)
+    return models.boosted_trees(train, rows, MODEL_COLUMNS, "y").select("person_id", "y", "score")
+
+
+@query
+def neighbour_scores(t):
+    train, rows = _training(t)
+    wide = checkpointed(models.neighbour_means(rows, _lot_edges(t), MODEL_COLUMNS))
+    columns = MODEL_COLUMNS + [f"nb_{c}" for c in MODEL_COLUMNS]
+    return models.logistic_head(wide.join(train.select("person_id"), "person_id", "left_semi"), wide, columns, "y").select("person_id", "y", "score")
