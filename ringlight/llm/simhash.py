@@ -160,15 +160,3 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", r
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS, width: int = WORDS) -> DataFrame:
-    """Rows, with all their columns, of the least doc_id of each group; of rows that repeat an id, one. Rows
-    without an id can't be told apart and all stay."""
-    from pyspark.sql import Window
-
-    stay = near_duplicates(df, text, doc_id, radius, width).where(F.col(doc_id) == F.col("component_id")).select(F.col(doc_id).alias("__id")).distinct()
-    columns = df.columns
-    named = df.where(F.col(doc_id).isNotNull()).join(stay, F.col(doc_id) == F.col("__id"), "left_semi")
-    first = F.row_number().over(Window.partitionBy(doc_id).orderBy(doc_id))
-    return named.withColumn("__first", first).where("__first = 1").select(*columns).unionByName(df.where(F.col(doc_id).isNull()))
