@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringlight.llm import bpe, decontaminate, langid, pii, simhash
+from ringlight.llm import bpe, decontaminate, langid, near_copies, pii
 from ringlight.llm.common import read_table
 from ringlight.session import checkpointed, ship_package
 
@@ -20,9 +20,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near copies."""
+    """The document with the least id of each group of near copies: five-word shingles, a similarity of 0.8 or more."""
     ship_package(spark)
-    return simhash.one_of_each(docs)
+    return near_copies.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
