@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from .crossbank import Paillier
 
 #: The curve secp256k1 (prime, order, a * x is absent, b = 7).
@@ -74,7 +75,10 @@ def blinded_tokens(values: DataFrame, column: str, key: int, seed: str = "blind"
             rows = zip(b["value"], b["x"], b["y"], strict=True)
             yield pd.DataFrame({"value": b["value"], "token": [token_of(times(pow(factor(v), -1, ORDER), (int(x, 16), int(y, 16)))) for v, x, y in rows]})
 
-    mine = values.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("value")).distinct().mapInPandas(blind, "value string, x string, y string")
+    # Big-number work: few bytes, long tasks, so the number of partitions is stated and stays.
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mine = values.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("value")).distinct().repartition(parts, "value").mapInPandas(blind, "value string, x string, y string")
+    mine = checkpointed(mine)
     served = mine.select("x", "y").mapInPandas(evaluate, "bx string, x string, y string")
     return mine.select("value", F.col("x").alias("bx")).join(served, "bx").select("value", "x", "y").mapInPandas(unblind, "value string, token string").withColumnRenamed("value", column)
 
@@ -110,5 +114,6 @@ def encrypted_score(rows: DataFrame, key_column: str, weights: dict[str, float],
             yield pd.DataFrame({key_column: b[key_column], "logit": [(v - key.n if v > key.n // 2 else v) / scale**2 for v in m]})
 
     kind = rows.schema[key_column].dataType.simpleString()
-    ciphers = rows.select(key_column, *[F.col(c).cast("double") for c in columns]).mapInPandas(encrypt, f"{key_column} {kind}, " + ", ".join(f"{c} string" for c in columns))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ciphers = rows.select(key_column, *[F.col(c).cast("double") for c in columns]).repartition(parts, key_column).mapInPandas(encrypt, f"{key_column} {kind}, " + ", ".join(f"{c} string" for c in columns))
     return ciphers.mapInPandas(score, f"{key_column} {kind}, cipher string").mapInPandas(decrypt, f"{key_column} {kind}, logit double")

@@ -131,6 +131,9 @@ ORACLE_SQL = {
     "confounder_rates": with_tables("picked", " UNION ALL ".join(f"SELECT '{k}' AS name, count(*) AS n, round(avg(CAST(selected AS INTEGER)), 6) AS rate FROM picked WHERE {p}" for k, p in CONFOUNDERS.items())),
     "ring_metrics": with_tables("picked", "SELECT count(*) AS rings, round(avg(CASE WHEN hits > 0 THEN 1e0 ELSE 0e0 END), 6) AS recall, round(avg(CASE WHEN hits > 0 THEN hits / size END), 6) AS coverage, round(median(size), 6) AS median_size FROM (SELECT source, sum(y) AS size, count(*) FILTER (selected AND y = 1) AS hits FROM picked GROUP BY 1 HAVING sum(y) >= 1)"),
     "nmi": "WITH j AS (SELECT lang, source, count(*) / (SELECT count(*) FROM documents) AS p FROM documents GROUP BY 1, 2), a AS (SELECT -sum(p * ln(p)) AS h FROM (SELECT sum(p) AS p FROM j GROUP BY lang)), b AS (SELECT -sum(p * ln(p)) AS h FROM (SELECT sum(p) AS p FROM j GROUP BY source)), ab AS (SELECT -sum(p * ln(p)) AS h FROM j) SELECT round((a.h + b.h - ab.h) / ((a.h + b.h) / 2), 6) AS nmi FROM a, b, ab",
+    "encrypted_score": with_tables("app", "SELECT person_id, round(-0.5e0 - 0.001e0 * app_tenure_days + 0.0002e0 * CAST(app_income AS DOUBLE) + 0.75e0 * app_segment_building, 6) AS logit FROM app"),
+    "property_graph_nodes": with_tables("persons attr visits", "SELECT 'Person' AS label, CAST(person_id AS VARCHAR) AS id FROM persons UNION ALL SELECT 'Account', concat(person_id, ':acct') FROM persons UNION ALL SELECT DISTINCT attr_type, token FROM attr WHERE attr_type IN ('half', 'lot') UNION ALL SELECT DISTINCT 'Merchant', token FROM visits"),
+    "property_graph_edges": with_tables("persons attr visits transfers au", "SELECT 'OWNS' AS type, CAST(person_id AS VARCHAR) AS src, concat(person_id, ':acct') AS dst FROM persons UNION ALL SELECT concat('HAS_', upper(attr_type)), CAST(person_id AS VARCHAR), token FROM attr WHERE attr_type IN ('half', 'lot') UNION ALL SELECT 'PAID_AT', CAST(person_id AS VARCHAR), token FROM visits UNION ALL SELECT DISTINCT 'TRANSFERRED_TO', CAST(src AS VARCHAR), CAST(dst AS VARCHAR) FROM transfers UNION ALL SELECT 'AUTHORIZED_USER_ON', CAST(person_id AS VARCHAR), CAST(host_person_id AS VARCHAR) FROM au"),
     "cross_bank_reuse": with_tables("holdings", "SELECT bank, token, CAST(total - n AS BIGINT) AS other_banks FROM (SELECT *, sum(n) OVER (PARTITION BY token) AS total, count(*) OVER (PARTITION BY token) AS banks FROM (SELECT bank, token, count(*) AS n FROM holdings GROUP BY 1, 2)) WHERE banks > 1"),
 }
 ORACLE_SQL["encrypted_reuse"] = ORACLE_SQL["cross_bank_reuse"]

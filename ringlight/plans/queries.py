@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing, normalize, similarity
-from ..operators import alerts, crossbank, evaluation, features, graph, models
+from ..operators import alerts, blinding, casefiles, communities, crossbank, evaluation, features, graph, models
 from ..operators.components import connected_components
 from ..operators.snapshot import snapshot
 from ..session import checkpointed, ship_package
+from ..sources import property_graph
 from .binding import DAY, Tables
 
 TOKEN_CAP, MERCHANT_CAP, HUB_CAP, TARGET, BUDGET, ROUNDS = 30, 15, 20, 0.01, 0.02, 5
@@ -308,3 +309,62 @@ def neighbour_scores(t):
     wide = checkpointed(models.neighbour_means(rows, _lot_edges(t), MODEL_COLUMNS))
     columns = MODEL_COLUMNS + [f"nb_{c}" for c in MODEL_COLUMNS]
     return models.logistic_head(wide.join(train.select("person_id"), "person_id", "left_semi"), wide, columns, "y").select("person_id", "y", "score")
+
+
+SCORE_WEIGHTS, SCORE_INTERCEPT = {"app_tenure_days": -0.001, "app_income": 0.0002, "app_segment_building": 0.75}, -0.5
+
+
+@query
+def encrypted_score(t):
+    f = features.application(t.persons().where(F.col("onboard_day") <= DAY), DAY, {"segment": SEGMENTS})
+    return blinding.encrypted_score(f, "person_id", SCORE_WEIGHTS, SCORE_INTERCEPT).select("person_id", six(F.col("logit"), "logit"))
+
+
+@query
+def blinded_tokens(t):
+    return blinding.blinded_tokens(t.persons(), "name", int.from_bytes(hashing.bank_key(SECRET, SEED, "service")) % blinding.ORDER)
+
+
+@query
+def score_contributions(t):
+    f = features.application(t.persons().where(F.col("onboard_day") <= DAY), DAY, {"segment": SEGMENTS})
+    return f.select("person_id", casefiles.top_contributions(SCORE_WEIGHTS, models.medians(f, list(SCORE_WEIGHTS))).alias("explanation"))
+
+
+def _labels(t: Tables) -> DataFrame:
+    return communities.communities(_lot_edges(t))
+
+
+@query
+def graph_communities(t):
+    return communities.community_known(_labels(t), _known(t))
+
+
+@query
+def community_modularity(t):
+    edges = checkpointed(_lot_edges(t))
+    return communities.modularity(edges, communities.communities(edges)).select(six(F.col("modularity"), "modularity"))
+
+
+def _graph(t: Tables) -> tuple[DataFrame, DataFrame]:
+    return property_graph.property_graph(t.persons(), _attrs(t, "half", "lot"), t.paid_at().where(F.col("first_day") <= DAY), t.transfers(), t.authorized_users())
+
+
+@query
+def property_graph_nodes(t):
+    return _graph(t)[0].select("label", "id")
+
+
+@query
+def property_graph_edges(t):
+    return _graph(t)[1].select("type", "src", "dst")
+
+
+@query
+def case_files(t):
+    """Files of communities of 5 to 40 members, by score and by members' count of confirmed neighbours."""
+    labels = checkpointed(_labels(t))
+    some = labels.groupBy("community").agg(F.count("*").alias("n")).where("n between 5 and 40").select("community")
+    score = graph.known_links(_attrs(t, "half"), _known(t)).select("person_id", F.col("known_links").cast("double").alias("score"))
+    members = labels.join(some, "community").select("community", F.col("node").alias("person_id")).join(score, "person_id", "left")
+    return casefiles.case_files(members, _attrs(t, "half", "lot"), t.transfers(), t.authorized_users())
