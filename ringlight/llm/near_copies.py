@@ -3,7 +3,7 @@
 Fingerprints of 512 bits are compared tile by tile, all pairs, with exclusive-or and bit counts. Tiles hold texts of
 like numbers of shingles: a similarity of 0.8 needs sizes within that ratio, so tiles, and rows in them, whose sizes
 are further apart are passed over, as are tiles whose population counts differ beyond the radius. The radius lies
-three standard deviations above the mean distance at the threshold; each pair within it is then checked exactly on
+5.5 standard deviations above the mean distance at the threshold; each pair within it is then checked exactly on
 the sets of 32-bit shingle hashes, unless links found before connect it already. So a group of many near copies
 takes about as many checks as it has members, and gives as many edges.
 
@@ -33,9 +33,10 @@ WORDS, SIMILARITY, LANES = 5, 0.8, 8
 TILE, SUB, STRIP, OPEN = 65_536, 16, 8_192, 256
 
 
-def radius(similarity: float = SIMILARITY, bits: int = 64 * LANES, deviations: float = 3.0) -> int:
-    """The distance that sets of the given similarity exceed by chance once in about 700 pairs. The cosine of two
-    sets is least, for a Jaccard similarity, where their sizes are equal."""
+def radius(similarity: float = SIMILARITY, bits: int = 64 * LANES, deviations: float = 5.5) -> int:
+    """The distance that sets of the given similarity next to never exceed: sets of 6 to 30 shingles lie up to one
+    deviation further apart than the mean of large ones, which leaves more than four. The cosine of two sets is
+    least, for a Jaccard similarity, where their sizes are equal."""
     p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
     return math.floor(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
 
@@ -124,21 +125,26 @@ def linked(fp: np.ndarray, n: np.ndarray, split: int | None, same, reach: int, s
         root[k] = r
         return r
 
-    size, first = n[right], np.ascontiguousarray(fp[right, 0])
-    lane = lambda d: math.floor(d / LANES + 3 * math.sqrt(d / LANES * (1 - d / (64 * LANES))))
+    size, first = n[right], fp[right, 0]
+    # Most pairs are told apart by their first lane, most others by the first two.
+    one, two = radius(similarity, 64, 5.5), radius(similarity, 128, 5.5)
+    lane = [np.ascontiguousarray(fp[:, k]) for k in (0, 1)]
     for lo in range(0, len(left), SUB):
         mine = left[lo : lo + SUB]
         # Four of five shingles differ in 3 of 16 bits by their ties: further than large sets of that similarity.
         within = reach + 30 if n[mine[0]] <= 5 else reach
-        screen = lane(within)
+        extra = (within - reach) // 4
         a = np.searchsorted(size, math.ceil(similarity * n[mine[0]] - 1e-9))
         b = np.searchsorted(size, math.floor(n[mine[-1]] / similarity + 1e-9), side="right")
         if split is None:
             a = max(a, lo)  # pairs with earlier rows have been seen
         for s in range(a, b, STRIP):
             e = min(b, s + STRIP)
-            near = np.flatnonzero(np.bitwise_count(fp[mine, 0][:, None] ^ first[None, s:e]) <= screen)
+            bits = np.bitwise_count(lane[0][mine][:, None] ^ first[None, s:e]).ravel()
+            near = np.flatnonzero(bits <= one + extra)
             x, y = mine[near // (e - s)], right[s + near % (e - s)]
+            close = bits[near] + np.bitwise_count(lane[1][x] ^ lane[1][y]) <= two + extra
+            x, y = x[close], y[close]
             close = np.bitwise_count(fp[x] ^ fp[y]).sum(axis=1, dtype=np.int64) <= within
             x, y, few = x[close], y[close], 1
             while True:
