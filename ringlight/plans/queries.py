@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing, normalize, similarity
-from ..operators import alerts, blinding, casefiles, communities, crossbank, evaluation, features, graph, models
+from ..operators import alerts, blinding, casefiles, communities, crossbank, evaluation, features, graph, models, report
 from ..operators.components import connected_components
 from ..operators.snapshot import snapshot
 from ..session import checkpointed, ship_package
@@ -311,6 +311,38 @@ def neighbour_scores(t):
     return models.logistic_head(wide.join(train.select("person_id"), "person_id", "left_semi"), wide, columns, "y").select("person_id", "y", "score")
 
 
+@query
+def gbt_contributions(t):
+    train, rows = _training(t)
+    return models.explained_trees(train, rows, MODEL_COLUMNS, "y").select("person_id", "score", "explanation")
+
+
+@query
+def propagated_scores(t):
+    train, rows = _training(t)
+    edges = checkpointed(_lot_edges(t))
+    wide = checkpointed(models.propagated(models.filled(rows, MODEL_COLUMNS, models.medians(train, MODEL_COLUMNS)), edges, MODEL_COLUMNS))
+    return models.logistic_head(wide.join(train.select("person_id"), "person_id", "left_semi"), wide, MODEL_COLUMNS, "y").select("person_id", "y", "score")
+
+
+@query
+def dataset_counts(t):
+    return report.dataset_counts({"persons": (t.persons(), ["bank", "segment"]), "person_attr": (_attrs(t, "half", "lot"), ["attr_type"]), "transfers": (t.transfers(), []), "fraud_confirmations": (t.confirmations(), [])})
+
+
+@query
+def model_report(t):
+    r = report.model_report(t.scored_rows(), "y", ["score", "score2"], "doc_id", "lang", TARGET, BUDGET)
+    return r.select("model", *[six(F.col(c), c) for c in ("ap", "auc")])
+
+
+@query
+def alert_comparison(t):
+    rows = _weighted(t).withColumn("community", F.concat_ws(":", "source", "lang", (F.col("doc_id") % 7).cast("string")))
+    taken = _communities(t).select("community", F.lit(True).alias("in_community"))
+    return report.alert_comparison(rows.join(taken, "community", "left"), "y", "source", {"person": "selected", "community": "in_community"})
+
+
 SCORE_WEIGHTS, SCORE_INTERCEPT = {"app_tenure_days": -0.001, "app_income": 0.0002, "app_segment_building": 0.75}, -0.5
 
 
