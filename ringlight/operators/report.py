@@ -1,4 +1,4 @@
-"""Reports: counts of tables, models side by side, alerts by person and by community, and go or no go."""
+"""Reports: models side by side, alerts by person and by community, and go or no go."""
 
 from __future__ import annotations
 
@@ -13,15 +13,6 @@ from . import evaluation
 COMPARE = {">": operator.gt, ">=": operator.ge, "<=": operator.le, "<": operator.lt}
 
 
-def dataset_counts(tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
-    """Rows of each table, and rows by value of the columns named with it: ``name``, ``key`` (null: all), ``value``, ``n``."""
-    parts = []
-    for name, (df, columns) in tables.items():
-        parts.append(df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value"), "n"))
-        parts += [df.groupBy(F.col(c).cast("string").alias("value")).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), F.lit(c).alias("key"), "value", "n") for c in columns]
-    return reduce(DataFrame.unionByName, parts)
-
-
 def model_report(rows: DataFrame, y: str, scores: list[str], pos: str, by: str, target: float, budget: float) -> DataFrame:
     """A row for each score column: means over the groups ``by`` of average precision, AUC, and precision and recall
     within the budget. All models are measured in the same passes."""

@@ -135,10 +135,10 @@ ORACLE_SQL = {
     "property_graph_nodes": with_tables("persons attr visits", "SELECT 'Person' AS label, CAST(person_id AS VARCHAR) AS id FROM persons UNION ALL SELECT 'Account', concat(person_id, ':acct') FROM persons UNION ALL SELECT DISTINCT attr_type, token FROM attr WHERE attr_type IN ('half', 'lot') UNION ALL SELECT DISTINCT 'Merchant', token FROM visits"),
     "property_graph_edges": with_tables("persons attr visits transfers au", "SELECT 'OWNS' AS type, CAST(person_id AS VARCHAR) AS src, concat(person_id, ':acct') AS dst FROM persons UNION ALL SELECT concat('HAS_', upper(attr_type)), CAST(person_id AS VARCHAR), token FROM attr WHERE attr_type IN ('half', 'lot') UNION ALL SELECT 'PAID_AT', CAST(person_id AS VARCHAR), token FROM visits UNION ALL SELECT DISTINCT 'TRANSFERRED_TO', CAST(src AS VARCHAR), CAST(dst AS VARCHAR) FROM transfers UNION ALL SELECT 'AUTHORIZED_USER_ON', CAST(person_id AS VARCHAR), CAST(host_person_id AS VARCHAR) FROM au"),
     "cross_bank_reuse": with_tables("holdings", "SELECT bank, token, CAST(total - n AS BIGINT) AS other_banks FROM (SELECT *, sum(n) OVER (PARTITION BY token) AS total, count(*) OVER (PARTITION BY token) AS banks FROM (SELECT bank, token, count(*) AS n FROM holdings GROUP BY 1, 2)) WHERE banks > 1"),
-    "dataset_counts": with_tables("persons attr transfers items", f"""+t AS (SELECT 'persons' AS name, 'bank' AS key, CAST(bank AS VARCHAR) AS value FROM persons UNION ALL SELECT 'persons', 'segment', segment FROM persons
+    "dataset_counts": with_tables("persons attr transfers items", f"""+t AS (SELECT 'persons' AS "table", 'bank' AS "column", CAST(bank AS VARCHAR) AS value FROM persons UNION ALL SELECT 'persons', 'segment', segment FROM persons
 UNION ALL SELECT 'person_attr', 'attr_type', attr_type FROM attr WHERE attr_type IN ('half', 'lot'))
-SELECT name, key, value, count(*) AS n FROM t GROUP BY ALL UNION ALL SELECT 'persons', NULL, NULL, count(*) FROM persons UNION ALL SELECT 'person_attr', NULL, NULL, count(*) FROM attr WHERE attr_type IN ('half', 'lot')
-UNION ALL SELECT 'transfers', NULL, NULL, count(*) FROM transfers UNION ALL SELECT 'fraud_confirmations', NULL, NULL, count(DISTINCT person_id) FROM items WHERE l_returnflag = 'R' AND l_quantity >= 50"""),
+SELECT "table", "column", value, count(*) AS n FROM t GROUP BY ALL UNION ALL SELECT 'persons', '', '', count(*) FROM persons UNION ALL SELECT 'person_attr', '', '', count(*) FROM attr WHERE attr_type IN ('half', 'lot')
+UNION ALL SELECT 'transfers', '', '', count(*) FROM transfers UNION ALL SELECT 'fraud_confirmations', '', '', count(DISTINCT person_id) FROM items WHERE l_returnflag = 'R' AND l_quantity >= 50"""),
     "model_report": with_tables("scored", f"""+l AS (SELECT 'score' AS model, lang, y, score AS s FROM scored UNION ALL SELECT 'score2', lang, y, score2 FROM scored),
 c AS (SELECT *, sum(y) OVER g AS p, sum(1 - y) OVER g AS q, rank() OVER (PARTITION BY model, lang ORDER BY s) + (count(*) OVER (PARTITION BY model, lang, s) - 1) / 2e0 AS r FROM l WINDOW g AS (PARTITION BY model, lang)),
 w AS (SELECT *, CASE WHEN y = 1 OR p = 0 OR q = 0 THEN 1e0 ELSE p * {1 - TARGET}e0 / ({TARGET}e0 * q) END AS w FROM c),

@@ -12,7 +12,7 @@ from ..operators import alerts, blinding, casefiles, communities, crossbank, eva
 from ..operators.components import connected_components
 from ..operators.snapshot import snapshot
 from ..session import checkpointed, ship_package
-from ..sources import property_graph
+from ..sources import property_graph, tables, world
 from .binding import DAY, Tables
 
 TOKEN_CAP, MERCHANT_CAP, HUB_CAP, TARGET, BUDGET, ROUNDS = 30, 15, 20, 0.01, 0.02, 5
@@ -327,7 +327,18 @@ def propagated_scores(t):
 
 @query
 def dataset_counts(t):
-    return report.dataset_counts({"persons": (t.persons(), ["bank", "segment"]), "person_attr": (_attrs(t, "half", "lot"), ["attr_type"]), "transfers": (t.transfers(), []), "fraud_confirmations": (t.confirmations(), [])})
+    named = {"persons": t.persons(), "person_attr": _attrs(t, "half", "lot"), "transfers": t.transfers(), "fraud_confirmations": t.confirmations()}
+    return tables.dataset_statistics(named, {"persons": ["bank", "segment"], "person_attr": ["attr_type"]})
+
+
+@query
+def simulated_world(t):
+    """Accounts, account months and transfers of the default world, by kind and sophistication."""
+    w = world.World()
+    held = checkpointed(world.records(world.identities(t.spark, w), w))
+    size = lambda df, key, name: df.groupBy(F.col(key).alias("person_id")).agg(F.count("*").alias(name))
+    out = held.join(size(world.monthly(held, w), "person_id", "m"), "person_id", "left").join(size(world.transfers(held, w), "src", "t"), "person_id", "left")
+    return out.groupBy("kind", "sophistication").agg(F.count("*").alias("accounts"), F.coalesce(F.sum("m"), F.lit(0)).alias("months"), F.coalesce(F.sum("t"), F.lit(0)).alias("transfers"))
 
 
 @query
