@@ -6,8 +6,8 @@ passage. An item's score for a passage is BM25 over the distinct words they shar
 for itself; every item that reaches ``THRESHOLD`` is retrieved. For all passages of a block at once, numpy
 sums the block maxima of the essential words (those outside the commonest that together can't reach the
 threshold); passages with no block that can reach it are dropped, exactly. The rest run block-max WAND.
-A retrieved item counts if the document holds enough of the three-word shingles of its question (the first two
-thirds of its words) and of its answer (the rest).
+A retrieved item counts if the passage holds enough of the three-word shingles of its question (the first two
+thirds of its words) and of its answer (the rest); of a part with one or two words, these in a row.
 
 Null and empty texts, and items without words, match nothing. Repeated rows each give a row, repeated items are
 each retrieved. Words are runs of ASCII letters, digits and all other non-ASCII characters, in lower case. The
@@ -37,8 +37,8 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode().translate(WORDS_ONLY).split()
 
 
-def shingles(words: list[bytes]) -> set[bytes]:
-    return {b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))} if words else set()
+def shingles(words: list[bytes], size: int) -> set[bytes]:
+    return {b" ".join(words[i : i + size]) for i in range(len(words) - size + 1)} if size else set()
 
 
 class Index:
@@ -50,7 +50,7 @@ class Index:
         self.parts = []
         for _, w in kept:
             cut = max(1, math.ceil(len(w) * 2 / 3))
-            self.parts.append((shingles(w[:cut]), shingles(w[cut:])))
+            self.parts.append([(k := min(3, len(part)), shingles(part, k)) for part in (w[:cut], w[cut:])])
         n = len(kept)
         self.span = max((len(w) for _, w in kept), default=1)
         mean = sum(len(w) for _, w in kept) / max(n, 1)
@@ -169,10 +169,10 @@ class Index:
             if not hits:
                 continue
             d = int(doc[p])
-            held = shingles(words[d][starts[p] - begin[d] : ends[p] - begin[d]])
+            passage = words[d][starts[p] - begin[d] : ends[p] - begin[d]]
+            held = {k: shingles(passage, k) for k in {k for item, _ in hits for k, _ in self.parts[item]}}
             for item, score in hits:
-                question, answer = self.parts[item]
-                if len(question & held) >= OVERLAP * len(question) and len(answer & held) >= OVERLAP * len(answer):
+                if all(len(part & held[k]) >= OVERLAP * len(part) for k, part in self.parts[item]):
                     found[d][item] = max(score, found[d].get(item, 0.0))
         passages = np.bincount(doc.astype(np.int64), minlength=len(texts)) if len(doc) else np.zeros(len(texts), np.int64)
         return [(int(n), f) for n, f in zip(passages, found, strict=True)]

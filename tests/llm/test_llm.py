@@ -171,6 +171,18 @@ def test_decontamination(spark, odd, none):
         assert sorted(i for i, _ in index.wand(q)) == sorted(i for i, s in score.items() if s >= decontaminate.THRESHOLD - 1e-9)
 
 
+def test_short_items_are_found(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota".split()
+    for n in range(1, 10):
+        index = decontaminate.Index([(7, " ".join(words[:n])), (8, "quite another item that has no words of the first")])
+        texts = [f"some talk before {' '.join(words[:n]).upper()}, and after", " ".join(words[:n]), "some talk before, and after", " ".join(reversed(words[:n]))]
+        assert [sorted(index.ids[i] for i in f) for _, f in index.search(texts)] == [[7], [7], [], [7] if n == 1 else []], n
+    bench = spark.createDataFrame([(1, "What is the capital of France? Paris")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "Quiz. What is the capital of France? Paris, of course."), (2, "Paris is the capital"), (3, None)], "doc_id long, text string")
+    assert by_id(decontaminate.contaminated(docs, bench), "item_ids") == {1: ([1],), 2: ([],), 3: ([],)}
+    assert sorted(r.doc_id for r in decontaminate.clean_rows(docs, bench).collect()) == [2, 3]
+
+
 def test_simhash(spark, odd, none):
     import xxhash
 
