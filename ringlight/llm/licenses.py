@@ -9,7 +9,12 @@ holds and all words past the prefix make k together. What is left is verified by
 
 Base phrases are counted in the whole text, across lines. Null and empty texts have no words, no labels and
 score 0. Repeated rows each give a row. Ties in frequency go by the word. Any number of lines, of any length,
-goes through the same filters; each document is one row of the only shuffle, with no text in it."""
+goes through the same filters; each document is one row of the only shuffle, with no text in it.
+
+``RATIO`` is a rule of its own, not one that the containment implies, and a line is all that a block can be: a notice
+within a long line, or wrapped over lines, isn't found. ``windows=True`` (``op4_notices``) finds these too: besides
+the lines, the blocks of a template of n words are the runs of ``RATIO`` * n words, one every half of that, over the
+whole text. Any ``RATIO`` * n / 2 words in a row lie whole in such a run."""
 
 from __future__ import annotations
 
@@ -72,9 +77,19 @@ def frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     return {r[0]: r[1] for r in docs.select(F.explode(held).alias("w")).groupBy("w").count().collect()}
 
 
-def scan(documents: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def _runs(words: Column, n: int, prefix: Column) -> Column:
+    """Structs (span, block): the distinct words of each run of RATIO * n words, one every half of that, that holds a
+    word of ``prefix``."""
+    half = RATIO * n // 2
+    at = F.array_compact(F.transform(words, lambda w, i: F.when(F.array_contains(prefix, w), F.floor(i / half).cast("int"))))
+    starts = F.filter(F.array_distinct(F.flatten(F.transform(F.array_distinct(at), lambda j: F.array(j - 1, j)))), lambda j: j >= 0)
+    return F.transform(starts, lambda j: F.struct(F.lit(n).alias("span"), F.array_distinct(F.slice(words, j * half + 1, RATIO * n)).alias("block")))
+
+
+def scan(documents: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, text: str = "text", doc_id: str = "doc_id", windows: bool = False) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, and ``matches``: an array of
-    (label, template, containment) of every block and template that meet."""
+    (label, template, containment) of every block and template that meet. With ``windows``, blocks are runs of the
+    whole text's words too."""
     spark = documents.sparkSession
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     sets = [(label, template_words(t)) for label, t in templates]
@@ -104,14 +119,24 @@ def scan(documents: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATE
         F.when(F.col("n_base") > 0, before("")).alias("last_word"),
         F.when(F.col("n_base") > 0, F.array_compact(F.array(*[F.when(text_col.rlike(f"(?i){one[p]}"), label) for p, label in PHRASES.items()]))).otherwise(F.array().cast("array<string>")).alias("base"),
         F.when(F.col("rare"), F.filter(blocks, lambda b: F.arrays_overlap(b, rare))).otherwise(F.array().cast("array<array<string>>")).alias("blocks"),
+        *([F.when(F.col("rare"), F.filter(F.split(lower, SEPARATORS), lambda w: w != "")).otherwise(F.array().cast("array<string>")).alias("text_words")] if windows else []),
     )
-    lines = rows.select("*", F.explode_outer("blocks").alias("block")).drop("blocks")
+    fits = F.size("block") <= RATIO * F.col("n")
+    if windows:
+        # ``span`` is the n whose templates the block is for, 0 for lines. Only runs with a prefix word are made.
+        spans = {n: F.array(*map(F.lit, sorted({r[2] for r in prefix_rows if r[6] == n}))) for n in sorted({r[6] for r in prefix_rows})}
+        parts = [F.transform("blocks", lambda b: F.struct(F.lit(0).alias("span"), b.alias("block")))] + [_runs(F.col("text_words"), n, own) for n, own in spans.items()]
+        rows = rows.withColumn("blocks", F.concat(*parts)).drop("text_words")
+        lines = rows.select("*", F.explode_outer("blocks").alias("x")).select(*[c for c in rows.columns if c != "blocks"], "x.span", "x.block")
+        fits = ((F.col("span") == 0) & fits) | (F.col("span") == F.col("n"))
+    else:
+        lines = rows.select("*", F.explode_outer("blocks").alias("block")).drop("blocks")
     tokens = lines.select("*", F.explode_outer(F.array_intersect("block", rare)).alias("token"))
     met = tokens.join(F.broadcast(prefixes), "token", "left")
     held = F.size(F.array_intersect("prefix", "block"))
     shared = F.size(F.array_intersect("ordered", "block"))
     # A block and a template meet at the first prefix word that the block holds; then by length, by position, and in full.
-    ok = (F.size(F.array_intersect(F.slice("prefix", 1, F.col("place")), F.col("block"))) == 0) & (F.size("block") >= F.col("k")) & (F.size("block") <= RATIO * F.col("n")) & (held + F.col("n") - F.size("prefix") >= F.col("k")) & (shared >= F.col("k"))
+    ok = (F.size(F.array_intersect(F.slice("prefix", 1, F.col("place")), F.col("block"))) == 0) & (F.size("block") >= F.col("k")) & fits & (held + F.col("n") - F.size("prefix") >= F.col("k")) & (shared >= F.col("k"))
     match = F.when(F.col("template").isNotNull() & ok, F.struct("label", "template", (shared / F.col("n")).alias("containment")))
     grouped = met.withColumn("match", match).groupBy("row").agg(*[F.first(c).alias(c) for c in ("doc_id", "n_words", "n_base", "first_word", "last_word", "base")], F.array_sort(F.collect_list("match")).alias("matches"))
     labels = F.array_sort(F.array_distinct(F.concat("base", F.transform("matches", lambda m: m["label"]))))
@@ -123,6 +148,11 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(read_table(spark, sf_dir, "documents")).drop("matches")
 
 
+def op4_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same columns, with notices within long lines and over several lines."""
+    return scan(read_table(spark, sf_dir, "documents"), windows=True).drop("matches")
+
+
 def _values() -> str:
     rows = [f"({i}, '{label}', ['{"','".join(template_words(t))}'], {needed(len(template_words(t)))})" for i, (label, t) in enumerate(TEMPLATES)]
     return ", ".join(rows)

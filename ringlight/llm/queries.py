@@ -6,7 +6,7 @@ from .bpe import op1_bpe
 from .decontaminate import op6_decontaminate
 from .langid import op2_language
 from .licenses import SQL as LICENSES_SQL
-from .licenses import op4_licenses
+from .licenses import op4_licenses, op4_notices
 from .lm import op9_language_model
 from .pieces import op3_token_counts
 from .pii import op8_pii
@@ -15,5 +15,5 @@ from .quality import op5_quality
 from .simhash import op7_simhash
 from .substrings import op10_substrings
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_language, op3_token_counts, op4_licenses, op5_quality, op6_decontaminate, op7_simhash, op8_pii, op9_language_model, op10_substrings)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_language, op3_token_counts, op4_licenses, op4_notices, op5_quality, op6_decontaminate, op7_simhash, op8_pii, op9_language_model, op10_substrings)}
 ORACLE_SQL: dict[str, str] = {"op4_licenses": LICENSES_SQL, "op5_quality": QUALITY_SQL}
