@@ -147,6 +147,14 @@ def pagerank(t):
     return r.select("person_id", six(F.col("pagerank"), "pagerank"))
 
 
+@query
+def pagerank_settled(t):
+    """The operator's 50 rounds, as the reference runs them; ``pagerank`` has ROUNDS, as its SQL."""
+    p = t.persons().where(F.col("onboard_day") <= DAY)
+    r = graph.pagerank(checkpointed(_lot_edges(t)), p)
+    return r.select("person_id", six(F.col("pagerank"), "pagerank"))
+
+
 @query
 def transfer_counterparties(t):
     m = t.transfers().where((F.col("month") + 1) * 30 <= DAY)

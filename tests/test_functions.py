@@ -1,6 +1,7 @@
 import hashlib
 import hmac
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ringlight.functions import hashing, normalize, similarity
@@ -8,6 +9,7 @@ from ringlight.operators import alerts, crossbank, evaluation
 from ringlight.operators.components import connected_components
 from ringlight.operators.graph import pagerank
 from ringlight.operators.snapshot import snapshot
+from ringlight.plans import queries
 
 
 def one(spark, value, f):
@@ -59,6 +61,23 @@ def test_pagerank_keeps_mass(spark):
     assert abs(sum(got.values()) - 5) < 1e-9 and got[2] > got[3] > got[1] > got[4] == got[5]
 
 
+def test_settled_pagerank_is_fifty_rounds(spark, smallest):
+    t = queries.Tables(spark, smallest)
+    ids = [r[0] for r in t.persons().where(F.col("onboard_day") <= queries.DAY).select("person_id").collect()]
+    at, n = {p: i for i, p in enumerate(ids)}, len(ids)
+    w = np.zeros((n, n))
+    for src, dst, x in queries._lot_edges(t).select("src", "dst", "w").collect():
+        w[at[src], at[dst]] += x
+    out = w.sum(1)
+    share = np.divide(w, out[:, None], out=np.zeros_like(w), where=out[:, None] > 0)
+    r = [np.full(n, 1 / n)]
+    for _ in range(50):
+        r.append(0.15 / n + 0.85 * (share.T @ r[-1] + r[-1][out == 0].sum() / n))
+    got = dict(map(tuple, queries.QUERIES["pagerank_settled"](spark, smallest).collect()))
+    mine = np.array([got[p] for p in ids])
+    assert len(got) == n and abs(mine - r[50] * n).max() < 2e-6 < abs(mine - r[5] * n).max()
+
+
 def test_metrics(spark):
     rows = spark.createDataFrame([(i, "a", int(i < 10), float(100 - i)) for i in range(100)], "pos long, g string, y int, score double")
     weighted = evaluation.prevalence_weights(rows, "y", 0.01, "g")
