@@ -9,7 +9,8 @@ threshold); passages with no block that can reach it are dropped, exactly. The r
 A retrieved item counts if the passage holds enough of the three-word shingles of its question (the first two
 thirds of its words) and of its answer (the rest); of a part with one or two words, these in a row.
 
-Null and empty texts, and items without words, match nothing. Repeated rows each give a row, repeated items are
+Null and empty texts, and items without words, match nothing. Items whose id is null or no long are looked for like
+all others; each that is found is a null at the end of ``item_ids``. Repeated rows each give a row, repeated items are
 each retrieved. Words are runs of ASCII letters, digits and all other non-ASCII characters, in lower case. The
 index is broadcast in slices of at most ``INDEX_BYTES`` of item text; more slices mean more passes."""
 
@@ -44,8 +45,8 @@ def shingles(words: list[bytes], size: int) -> set[bytes]:
 class Index:
     """Postings by word, sorted by item, with impacts as shares of the item's own score."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        kept = sorted((i, w) for i, t in items if i is not None and t and (w := words_of(t)))
+    def __init__(self, items: list[tuple[int | None, str]]):
+        kept = sorted(((i, w) for i, t in items if t and (w := words_of(t))), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
         self.ids = [i for i, _ in kept]
         self.parts = []
         for _, w in kept:
@@ -91,6 +92,11 @@ class Index:
         self.firsts = np.cumsum(self.sizes) - self.sizes
         self.flat_block, self.flat_top = np.array([b for b, _ in flat], np.int64), np.array([x for _, x in flat])
 
+    def named(self, found) -> list[int | None]:
+        """Distinct ids in order, then a null for each item without one."""
+        ids = [self.ids[i] for i in found]
+        return sorted({i for i in ids if i is not None}) + [None] * ids.count(None)
+
     def candidates(self, terms: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Passages (terms[starts:ends], -1 for none) with a block whose maxima can reach the threshold."""
         blocks = len(self.block_slack)
@@ -180,7 +186,7 @@ class Index:
 
 def contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), item_id: str = "item_id", item_text: str = "text", index_bytes: int = INDEX_BYTES) -> DataFrame:
     """``keys``, n_passages, item_ids (array of the items found, sorted) and score (the best; 0 if none)."""
-    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"))
+    items = benchmark.select(F.col(item_id).try_cast("long").alias("i"), F.col(item_text).alias("t"))
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     slices = max(1, -(-size // index_bytes))
 
@@ -192,7 +198,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", keys:
             def f(texts, _):
                 x = index.value
                 found = x.search(texts)
-                return {"n_passages": [n for n, _ in found], "item_ids": [sorted({x.ids[i] for i in y}) for _, y in found], "score": [min(1.0, max(y.values(), default=0.0)) for _, y in found]}
+                return {"n_passages": [n for n, _ in found], "item_ids": [x.named(y) for _, y in found], "score": [min(1.0, max(y.values(), default=0.0)) for _, y in found]}
 
             return f
 
@@ -213,7 +219,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean_rows(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", index_bytes: int = INDEX_BYTES) -> DataFrame:
     """Rows, with all their columns, in whose text no item was found; a null text is clean."""
-    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"))
+    items = benchmark.select(F.col(item_id).try_cast("long").alias("i"), F.col(item_text).alias("t"))
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     slices = max(1, -(-size // index_bytes))
     for part in range(slices):

@@ -206,6 +206,17 @@ def test_short_items_are_found(spark):
     assert sorted(r.doc_id for r in decontaminate.clean_rows(docs, bench).collect()) == [2, 3]
 
 
+def test_items_without_an_id_are_found(spark):
+    copy = "the quick brown fox jumps over the lazy dog while seven wizards box"
+    other = "a wholly different passage with enough words of its own to be kept"
+    docs = spark.createDataFrame([(1, f"first {copy} last"), (2, "nothing of it"), (3, f"{other} {copy}")], "doc_id long, text string")
+    for rows, kind in (([(None, copy), (5, other)], "long"), ([("q-1", copy), ("5", other)], "string")):
+        bench = spark.createDataFrame(rows, f"item_id {kind}, text string")
+        assert by_id(decontaminate.contaminated(docs, bench), "item_ids") == {1: ([None],), 2: ([],), 3: ([5, None],)}
+        for bound in (1 << 20, 70):
+            assert [r.doc_id for r in decontaminate.clean_rows(docs, bench, index_bytes=bound).collect()] == [2]
+
+
 def test_simhash(spark, odd, none):
     import xxhash
 
