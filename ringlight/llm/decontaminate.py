@@ -12,12 +12,13 @@ thirds of its words) and of its answer (the rest); of a part with one or two wor
 Null and empty texts, and items without words, match nothing. Items whose id is null or no long are looked for like
 all others; each that is found is a null at the end of ``item_ids``. Repeated rows each give a row, repeated items are
 each retrieved. Words are runs of ASCII letters, digits and all other non-ASCII characters, in lower case. The
-index is broadcast in slices of at most ``INDEX_BYTES`` of item text; more slices mean more passes."""
+index is broadcast in slices of about ``INDEX_BYTES`` of item text; more slices mean more passes with equal results."""
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 from itertools import chain, repeat
 
 import numpy as np
@@ -25,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from .common import map_rows, map_texts, read_table
 
 K1, B, THRESHOLD, OVERLAP = 1.2, 0.75, 0.6, 0.5
@@ -45,7 +47,8 @@ def shingles(words: list[bytes], size: int) -> set[bytes]:
 class Index:
     """Postings by word, sorted by item, with impacts as shares of the item's own score."""
 
-    def __init__(self, items: list[tuple[int | None, str]]):
+    def __init__(self, items: list[tuple[int | None, str]], whole: tuple[int, float, int, dict[bytes, int]] | None = None):
+        """``whole``: number, mean length, longest length and documents with each word, of all items if these are a slice."""
         kept = sorted(((i, w) for i, t in items if t and (w := words_of(t))), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
         self.ids = [i for i, _ in kept]
         self.parts = []
@@ -53,15 +56,14 @@ class Index:
             cut = max(1, math.ceil(len(w) * 2 / 3))
             self.parts.append([(k := min(3, len(part)), shingles(part, k)) for part in (w[:cut], w[cut:])])
         n = len(kept)
-        self.span = max((len(w) for _, w in kept), default=1)
-        mean = sum(len(w) for _, w in kept) / max(n, 1)
         counts = [Counter(w) for _, w in kept]
-        df = Counter(t for c in counts for t in c)
-        self.term = {t: k for k, t in enumerate(sorted(df))}
+        held = Counter(t for c in counts for t in c)
+        all_n, mean, self.span, df = whole or (n, sum(len(w) for _, w in kept) / max(n, 1), max((len(w) for _, w in kept), default=1), held)
+        self.term = {t: k for k, t in enumerate(sorted(held))}
         postings: list[list[tuple[int, float]]] = [[] for _ in self.term]
         for i, c in enumerate(counts):
             size = sum(c.values())
-            raw = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * size / mean)) for t, f in c.items()}
+            raw = {t: math.log(1 + (all_n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * size / mean)) for t, f in c.items()}
             own = sum(raw.values())
             for t, x in raw.items():
                 postings[self.term[t]].append((i, x / own))
@@ -184,15 +186,30 @@ class Index:
         return [(int(n), f) for n, f in zip(passages, found, strict=True)]
 
 
-def contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), item_id: str = "item_id", item_text: str = "text", index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """``keys``, n_passages, item_ids (array of the items found, sorted) and score (the best; 0 if none)."""
+def indexes(benchmark: DataFrame, item_id: str, item_text: str, index_bytes: int) -> Iterator[Index]:
+    """An index of each slice of about ``index_bytes``, all with the word statistics of the whole benchmark."""
     items = benchmark.select(F.col(item_id).try_cast("long").alias("i"), F.col(item_text).alias("t"))
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     slices = max(1, -(-size // index_bytes))
+    if slices == 1:
+        yield Index([tuple(r) for r in items.collect()])
+        return
+    words = F.udf(lambda t: words_of(t or ""), "array<binary>")
+    items = checkpointed(items.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(slices))).withColumn("w", words("t")))
+    n, mean, span = items.where(F.size("w") > 0).agg(F.count("*"), F.avg(F.size("w")), F.max(F.size("w"))).first()
+    each = items.select("part", F.explode(F.array_distinct("w")).alias("w"))
+    counts = checkpointed(each.groupBy("w").count())
+    for part in range(slices):
+        mine = items.where(F.col("part") == part).select("i", "t").collect()  # at most about index_bytes, as the words below
+        df = counts.join(each.where(F.col("part") == part).select("w").distinct(), "w", "left_semi").collect()
+        yield Index([tuple(r) for r in mine], (n or 0, mean or 0.0, span or 1, {bytes(r[0]): r[1] for r in df}))
+
+
+def contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), item_id: str = "item_id", item_text: str = "text", index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """``keys``, n_passages, item_ids (array of the items found, sorted) and score (the best; 0 if none)."""
 
-    def one(part: int) -> DataFrame:
-        rows = [tuple(r) for r in items.where(F.pmod(F.xxhash64("i"), F.lit(slices)) == part).collect()]  # at most about index_bytes
-        index = df.sparkSession.sparkContext.broadcast(Index(rows))
+    def one(df: DataFrame, index: Index, keys: tuple[str, ...]) -> DataFrame:
+        index = df.sparkSession.sparkContext.broadcast(index)
 
         def make():
             def f(texts, _):
@@ -204,12 +221,19 @@ def contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", keys:
 
         return map_texts(df, make, "n_passages long, item_ids array<long>, score double", text, keys, as_bytes=False, limit=1 << 20)
 
-    out = one(0)
-    for part in range(1, slices):
-        out = out.unionByName(one(part))
-    if slices > 1:
-        out = out.groupBy(*keys).agg(F.max("n_passages").alias("n_passages"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.max("score").alias("score"))
-    return out
+    slices = indexes(benchmark, item_id, item_text, index_bytes)
+    first, second = next(slices), next(slices, None)
+    if second is None:
+        return one(df, first, keys)
+    # The passes meet by a row number that stands in the checkpoint, as keys may repeat or be null.
+    rows = checkpointed(df.select(*dict.fromkeys((*keys, text)), F.monotonically_increasing_id().alias("__row")))
+    out = one(rows, first, ("__row", *keys))
+    for index in chain([second], slices):
+        out = out.unionByName(one(rows, index, ("__row", *keys)))
+    ids = F.flatten(F.collect_list("item_ids"))
+    met = out.groupBy("__row").agg(*[F.first(k).alias(k) for k in keys], F.max("n_passages").alias("n_passages"), ids.alias("item_ids"), F.max("score").alias("score"))
+    named = F.concat(F.array_sort(F.array_distinct(F.array_compact("item_ids"))), F.filter("item_ids", lambda i: i.isNull()))
+    return met.select(*keys, "n_passages", named.alias("item_ids"), "score")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,13 +243,8 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean_rows(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", index_bytes: int = INDEX_BYTES) -> DataFrame:
     """Rows, with all their columns, in whose text no item was found; a null text is clean."""
-    items = benchmark.select(F.col(item_id).try_cast("long").alias("i"), F.col(item_text).alias("t"))
-    size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    slices = max(1, -(-size // index_bytes))
-    for part in range(slices):
-        rows = [tuple(r) for r in items.where(F.pmod(F.xxhash64("i"), F.lit(slices)) == part).collect()]  # at most about index_bytes
-        index = df.sparkSession.sparkContext.broadcast(Index(rows))
-
+    for one in indexes(benchmark, item_id, item_text, index_bytes):
+        index = df.sparkSession.sparkContext.broadcast(one)
 
         def make(index=index):
             return lambda texts, block: block.filter(pa.array([not found for _, found in index.value.search(texts)], pa.bool_()))

@@ -217,6 +217,23 @@ def test_items_without_an_id_are_found(spark):
             assert [r.doc_id for r in decontaminate.clean_rows(docs, bench, index_bytes=bound).collect()] == [2]
 
 
+def test_slices_of_the_benchmark_change_nothing(spark):
+    r = random.Random(8)
+    pool = [f"v{i}" for i in range(60)]
+    items = [(i if i % 9 else None, " ".join(r.choices(pool, k=r.randrange(3, 30)))) for i in range(50)]
+    rows = []
+    for d in range(80):
+        part = items[d % 50][1].split()
+        for _ in range(len(part) * (d % 4) // 10):  # some words changed: scores on both sides of the threshold
+            part[r.randrange(len(part))] = "u"
+        rows.append((None if d % 5 == 0 else d % 11, d, " ".join(r.choices(pool, k=r.randrange(80))) + " " + " ".join(part)))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, n long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = [sorted(([x.doc_id, x.n_passages, x.item_ids, round(x.score, 9)] for x in decontaminate.contaminated(docs, bench, index_bytes=bound).collect()), key=str) for bound in (1 << 20, 1500)]
+    assert len(found[0]) == 80 and found[0] == found[1] and any(x[2] for x in found[0])
+    kept = [sorted(x.n for x in decontaminate.clean_rows(docs, bench, index_bytes=bound).collect()) for bound in (1 << 20, 1500)]
+    assert 0 < len(kept[0]) < 80 and kept[0] == kept[1]
+
+
 def test_simhash(spark, odd, none):
     import xxhash
 
