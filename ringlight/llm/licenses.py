@@ -1,35 +1,37 @@
 """Operator 4: license scans by an exact set-similarity join, in DataFrame operations alone.
 
-Every line of a text is a block, every template a notice. A block meets a template if it holds at least
-``CONTAINMENT`` of the template's distinct words and has at most ``RATIO`` times as many distinct words. The
-templates' words are ordered by their frequency in the corpus (one count over all documents), rarest first.
-Prefix filter: a block that meets a template of n words, k of them needed, holds one of its n - k + 1 rarest
-words. Length filter: it has k words or more, and not too many. Positional filter: the prefix words that it
-holds and all words past the prefix make k together. What is left is verified by counting all shared words.
-
-Base phrases are counted in the whole text, across lines. Null and empty texts have no words, no labels and
-score 0. Repeated rows each give a row. Ties in frequency go by the word. Any number of lines, of any length,
-goes through the same filters; each document is one row of the only shuffle, with no text in it.
-
-``RATIO`` is a rule of its own, not one that the containment implies, and a line is all that a block can be: a notice
-within a long line, or wrapped over lines, isn't found. ``windows=True`` (``op4_notices``) finds these too: besides
-the lines, the blocks of a template of n words are the runs of ``RATIO`` * n words, one every half of that, over the
-whole text. Any ``RATIO`` * n / 2 words in a row lie whole in such a run."""
+A block is a run of 2 * ``half`` words of the whole text, one every ``half`` words, whatever the lines; the last ones
+end with the text. So any ``half`` + 1 words in a row lie whole in a block, in a long line as over several lines. A
+block meets a template if it holds at least ``CONTAINMENT`` of the template's distinct words; nothing else is asked
+of it. The templates' words are ordered by their frequency in the corpus (one count over all documents), rarest
+first. Prefix filter: a block that meets a template of n words, k of them needed, holds one of its n - k + 1 rarest
+words; only blocks with such a word are made, and each asks the inverted prefix index for the templates of its words.
+Length filter: it has k distinct words or more. Positional filter: the prefix words that it holds and all words past
+the prefix make k together. What is left is verified by counting all shared words.
+
+The index of prefixes is a literal of the plan, as templates are few and given by the caller (``MOST_TEMPLATES``, else
+ValueError). So the join takes place within each row: no text, block or candidate is ever shuffled, and a lost task
+repeats its own rows. ``half`` is 32, or the words of the longest template if these are more.
+
+Null and empty texts have no words, no labels and score 0. Repeated rows and repeated or null ids each give a row;
+other columns are not read, whatever their names; an empty table gives an empty one. Ties in frequency go by the
+word. Texts of any length go through the same steps."""
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table
 
-CONTAINMENT, RATIO = 0.8, 4
-#: Word characters of lower-cased text, and of text in any case; the rest separates words.
+CONTAINMENT, HALF, MOST_TEMPLATES = 0.8, 32, 1000
+#: What separates words of lower-cased text.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANY_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Base phrases and their labels; no phrase ends with a word that one begins with, so that places never overlap.
+#: Base phrases and their labels; places are counted by their first word, so no two phrases may begin alike.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: A word of each phrase that a text must hold for a closer look.
 TELLING = ("cc", "public", "reserved")
@@ -52,8 +54,12 @@ TEMPLATES = (
 )
 
 
+def template_list(text: str) -> list[str]:
+    return [w for w in re.split(SEPARATORS, text.translate(str.maketrans(UPPER, LOWER))) if w]
+
+
 def template_words(text: str) -> list[str]:
-    return sorted({w for w in "".join(c if c.isalnum() else " " for c in text.lower()).split()})
+    return sorted(set(template_list(text)))
 
 
 def needed(n: int) -> int:
@@ -61,98 +67,93 @@ def needed(n: int) -> int:
     return next(k for k in range(1, n + 1) if k / n >= CONTAINMENT)
 
 
-def loose_words(text: Column) -> Column:
-    """Words in lower case of all scripts, in place of A-Z alone: as many words, and every ASCII word is the same."""
-    return F.split(F.lower(text), SEPARATORS)
+def words_of(text: Column) -> Column:
+    """Words with A-Z in lower case. ``lower`` does the same for ASCII texts, in a fraction of the time."""
+    plain = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+    return F.filter(F.split(plain, SEPARATORS), lambda w: w != "")
 
 
-def word_count(words: Column) -> Column:
-    first, last = (F.element_at(words, 1) == "").cast("int"), (F.element_at(words, -1) == "").cast("int")
-    return (F.size(words) - first - F.when(F.size(words) > 1, last).otherwise(0)).cast("long")
+def literal(words: list[str]) -> Column:
+    return F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
 
 
-def frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
+def frequencies(words: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     """Documents with each word of the templates: a row for each word at most."""
-    held = F.array_intersect(loose_words(F.col("text")), F.array(*map(F.lit, vocabulary)))
-    return {r[0]: r[1] for r in docs.select(F.explode(held).alias("w")).groupBy("w").count().collect()}
+    return {r[0]: r[1] for r in words.select(F.explode(F.array_intersect("words", literal(vocabulary))).alias("w")).groupBy("w").count().collect()}
+
+
+def _matches(words: Column, sets: list[tuple[str, list[str]]], often: dict[str, int], half: int) -> Column:
+    """Array of (label, template, containment) of the templates that blocks of ``words`` meet, sorted."""
+    templates, postings = [], {}
+    for i, (label, s) in enumerate(sets):
+        ordered, k = sorted(s, key=lambda w: (often.get(w, 0), w)), needed(len(s))
+        prefix = ordered[: len(s) - k + 1]
+        templates.append(F.struct(F.lit(label).alias("label"), F.lit(i).alias("template"), literal(prefix).alias("prefix"), literal(ordered).alias("ordered"), F.lit(len(s)).alias("n"), F.lit(k).alias("k")))
+        for w in prefix:
+            postings.setdefault(w, []).append(i)
+    rare = literal(sorted(postings))
+    index = F.create_map(*[x for w in sorted(postings) for x in (F.lit(w), F.array(*map(F.lit, postings[w])))])
+    # Blocks are named by their first word's place / half; a prefix word lies in the block that begins in its half and the one before.
+    places = F.array_distinct(F.array_compact(F.transform(words, lambda w, i: F.when(F.array_contains(rare, w), F.floor(i / half).cast("int")))))
+    starts = F.filter(F.array_distinct(F.flatten(F.transform(places, lambda j: F.array(j - 1, j)))), lambda j: j >= 0)
+    blocks = F.transform(starts, lambda j: F.array_distinct(F.slice(words, j * half + 1, 2 * half)))
 
+    def met(block: Column) -> Column:
+        candidates = F.array_distinct(F.flatten(F.transform(F.array_intersect(block, rare), lambda w: F.try_element_at(index, w))))
+        named = F.transform(candidates, lambda i: F.get(F.array(*templates), i))
+        possible = F.filter(named, lambda t: (F.size(block) >= t["k"]) & (F.size(F.array_intersect(t["prefix"], block)) + t["n"] - F.size(t["prefix"]) >= t["k"]))
+        counted = F.transform(possible, lambda t: F.struct(t["label"].alias("label"), t["template"].alias("template"), (F.size(F.array_intersect(t["ordered"], block)) / t["n"]).alias("containment"), t["k"].alias("k"), t["n"].alias("n")))
+        return F.transform(F.filter(counted, lambda t: t["containment"] >= t["k"] / t["n"]), lambda t: F.struct(t["label"].alias("label"), t["template"].alias("template"), t["containment"].alias("containment")))
 
-def _runs(words: Column, n: int, prefix: Column) -> Column:
-    """Structs (span, block): the distinct words of each run of RATIO * n words, one every half of that, that holds a
-    word of ``prefix``."""
-    half = RATIO * n // 2
-    at = F.array_compact(F.transform(words, lambda w, i: F.when(F.array_contains(prefix, w), F.floor(i / half).cast("int"))))
-    starts = F.filter(F.array_distinct(F.flatten(F.transform(F.array_distinct(at), lambda j: F.array(j - 1, j)))), lambda j: j >= 0)
-    return F.transform(starts, lambda j: F.struct(F.lit(n).alias("span"), F.array_distinct(F.slice(words, j * half + 1, RATIO * n)).alias("block")))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(blocks, met))))
 
 
-def scan(documents: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, text: str = "text", doc_id: str = "doc_id", windows: bool = False) -> DataFrame:
+def _best(found: Column) -> Column:
+    """Of sorted matches, whose containments ascend within a template, the last of each template."""
+    return F.filter(found, lambda m, i: F.coalesce(F.get(found, i + 1)["template"] != m["template"], F.lit(True)))
+
+
+def scan(documents: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, and ``matches``: an array of
-    (label, template, containment) of every block and template that meet. With ``windows``, blocks are runs of the
-    whole text's words too."""
-    spark = documents.sparkSession
-    docs = documents.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sets = [(label, template_words(t)) for label, t in templates]
+    (label, template, containment) of every template that a block meets, with the best containment."""
+    sets = [(label, template_words(t)) for label, t in templates if template_words(t)]
+    if not sets:
+        raise ValueError("no template has a word")
+    if len(sets) > MOST_TEMPLATES:
+        raise ValueError(f"{len(sets)} templates; the plan holds {MOST_TEMPLATES} at most")
+    half = max([HALF, *(len(template_list(t)) for _, t in templates)])
+    docs = documents.select(F.col(doc_id).alias("doc_id"), words_of(F.coalesce(F.col(text), F.lit(""))).alias("words"))
     often = frequencies(docs, sorted({w for _, s in sets for w in s}))
-    prefix_rows = []
-    for i, (label, s) in enumerate(sets):
-        ordered = sorted(s, key=lambda w: (often.get(w, 0), w))
-        k = needed(len(s))
-        prefix = ordered[: len(s) - k + 1]
-        prefix_rows += [(i, label, w, p, prefix, ordered, len(s), k) for p, w in enumerate(prefix)]
-    prefixes = spark.createDataFrame(prefix_rows, "template int, label string, token string, place int, prefix array<string>, ordered array<string>, n int, k int")
-    rare = F.array(*map(F.lit, sorted({r[2] for r in prefix_rows})))
-
-    docs = docs.withColumn("row", F.monotonically_increasing_id()).withColumn("words", loose_words(F.col("text")))
-    looked = docs.select("row", "doc_id", "text", word_count(F.col("words")).alias("n_words"), F.arrays_overlap("words", F.array(*map(F.lit, TELLING))).alias("telling"), F.arrays_overlap("words", rare).alias("rare"))
-
-    one = {p: rf"(?<!{ANY_WORD})" + f"{ANY_SEPARATORS}+".join(p.split()) + rf"(?!{ANY_WORD})" for p in PHRASES}
-    some = "(?i)(?:" + "|".join(one.values()) + ")"
-    text_col = F.when(F.col("telling"), F.col("text")).otherwise(F.lit(""))
-    counted = looked.withColumns({"n_base": F.when(F.col("telling"), F.regexp_count("text", F.lit(some))).otherwise(0).cast("long")})
-    before = lambda quantifier: F.regexp_count(F.regexp_extract(text_col, f"(?is)^(.*{quantifier}){some[4:]}", 1), F.lit(f"{ANY_WORD}+")).cast("long")
-    lower = F.translate("text", UPPER, LOWER)
-    blocks = F.transform(F.split(lower, "\n"), lambda line: F.array_distinct(F.filter(F.split(line, SEPARATORS), lambda w: w != "")))
-    rows = counted.select(
-        "row", "doc_id", "n_words", "n_base",
-        F.when(F.col("n_base") > 0, before("?")).alias("first_word"),
-        F.when(F.col("n_base") > 0, before("")).alias("last_word"),
-        F.when(F.col("n_base") > 0, F.array_compact(F.array(*[F.when(text_col.rlike(f"(?i){one[p]}"), label) for p, label in PHRASES.items()]))).otherwise(F.array().cast("array<string>")).alias("base"),
-        F.when(F.col("rare"), F.filter(blocks, lambda b: F.arrays_overlap(b, rare))).otherwise(F.array().cast("array<array<string>>")).alias("blocks"),
-        *([F.when(F.col("rare"), F.filter(F.split(lower, SEPARATORS), lambda w: w != "")).otherwise(F.array().cast("array<string>")).alias("text_words")] if windows else []),
+    rare = sorted({w for _, s in sets for w in sorted(s, key=lambda w: (often.get(w, 0), w))[: len(s) - needed(len(s)) + 1]})
+
+    w = F.col("words")
+    def base_at(x: Column, i: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for phrase, label in PHRASES.items():
+            first, *rest = phrase.split()
+            out = F.when(reduce(lambda a, b: a & b, [F.get(w, i + k + 1) == y for k, y in enumerate(rest)], x == first), label).otherwise(out)
+        return F.when(out.isNotNull(), F.struct(i.cast("long").alias("at"), out.alias("label")))
+
+    nothing = F.array()
+    held = docs.select("doc_id", w, F.arrays_overlap(w, literal(list(TELLING))).alias("telling"), F.arrays_overlap(w, literal(rare)).alias("rare"))
+    looked = held.select(
+        "doc_id", F.size(w).cast("long").alias("n_words"),
+        F.when(F.col("telling"), F.array_compact(F.transform(w, base_at))).otherwise(nothing.cast("array<struct<at:bigint,label:string>>")).alias("base"),
+        F.when(F.col("rare"), _matches(w, sets, often, half)).otherwise(nothing.cast("array<struct<label:string,template:int,containment:double>>")).alias("found"),
     )
-    fits = F.size("block") <= RATIO * F.col("n")
-    if windows:
-        # ``span`` is the n whose templates the block is for, 0 for lines. Only runs with a prefix word are made.
-        spans = {n: F.array(*map(F.lit, sorted({r[2] for r in prefix_rows if r[6] == n}))) for n in sorted({r[6] for r in prefix_rows})}
-        parts = [F.transform("blocks", lambda b: F.struct(F.lit(0).alias("span"), b.alias("block")))] + [_runs(F.col("text_words"), n, own) for n, own in spans.items()]
-        rows = rows.withColumn("blocks", F.concat(*parts)).drop("text_words")
-        lines = rows.select("*", F.explode_outer("blocks").alias("x")).select(*[c for c in rows.columns if c != "blocks"], "x.span", "x.block")
-        fits = ((F.col("span") == 0) & fits) | (F.col("span") == F.col("n"))
-    else:
-        lines = rows.select("*", F.explode_outer("blocks").alias("block")).drop("blocks")
-    tokens = lines.select("*", F.explode_outer(F.array_intersect("block", rare)).alias("token"))
-    met = tokens.join(F.broadcast(prefixes), "token", "left")
-    held = F.size(F.array_intersect("prefix", "block"))
-    shared = F.size(F.array_intersect("ordered", "block"))
-    # A block and a template meet at the first prefix word that the block holds; then by length, by position, and in full.
-    ok = (F.size(F.array_intersect(F.slice("prefix", 1, F.col("place")), F.col("block"))) == 0) & (F.size("block") >= F.col("k")) & fits & (held + F.col("n") - F.size("prefix") >= F.col("k")) & (shared >= F.col("k"))
-    match = F.when(F.col("template").isNotNull() & ok, F.struct("label", "template", (shared / F.col("n")).alias("containment")))
-    grouped = met.withColumn("match", match).groupBy("row").agg(*[F.first(c).alias(c) for c in ("doc_id", "n_words", "n_base", "first_word", "last_word", "base")], F.array_sort(F.collect_list("match")).alias("matches"))
-    labels = F.array_sort(F.array_distinct(F.concat("base", F.transform("matches", lambda m: m["label"]))))
-    score = F.greatest(F.coalesce(F.array_max(F.transform("matches", lambda m: m["containment"])), F.lit(0.0)), F.when(F.col("n_base") > 0, 1.0).otherwise(0.0))
-    return grouped.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join(F.array_sort("base"), ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score"), "matches")
+    looked = looked.withColumn("matches", _best(F.col("found")))
+    base = F.array_sort(F.array_distinct(F.transform("base", lambda b: b["label"])))
+    n_base = F.size("base").cast("long")
+    labels = F.array_sort(F.array_union(base, F.transform("matches", lambda m: m["label"])))
+    score = F.greatest(F.coalesce(F.array_max(F.transform("matches", lambda m: m["containment"])), F.lit(0.0)), F.when(n_base > 0, 1.0).otherwise(0.0))
+    first, last = F.get("base", F.lit(0))["at"], F.get("base", F.size("base") - 1)["at"]
+    return looked.select("doc_id", "n_words", n_base.alias("n_base"), first.alias("first_word"), last.alias("last_word"), F.array_join(base, ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score"), "matches")
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(read_table(spark, sf_dir, "documents")).drop("matches")
 
 
-def op4_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same columns, with notices within long lines and over several lines."""
-    return scan(read_table(spark, sf_dir, "documents"), windows=True).drop("matches")
-
-
 def _values() -> str:
     rows = [f"({i}, '{label}', ['{"','".join(template_words(t))}'], {needed(len(template_words(t)))})" for i, (label, t) in enumerate(TEMPLATES)]
     return ", ".join(rows)
@@ -167,11 +168,11 @@ h AS (SELECT doc_id, i, CASE WHEN a = 'cc' AND b = 'by' THEN 'cc-by' WHEN a = 'g
              WHEN a = 'all' AND b = 'rights' AND c = 'reserved' THEN 'reserved' END AS label FROM s),
 base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_sort(list(DISTINCT label)) AS labels
          FROM h WHERE label IS NOT NULL GROUP BY doc_id),
-lines AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS block
-          FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
+blocks AS (SELECT doc_id, list_distinct(words[j + 1 : j + {2 * HALF}]) AS block
+           FROM (SELECT doc_id, words, unnest(range(0, len(words), {HALF})) AS j FROM w)),
 templates(template, label, words, k) AS (VALUES {_values()}),
 m AS (SELECT doc_id, label, len(list_intersect(block, words)) AS shared, len(words) AS n, k
-      FROM lines JOIN templates ON len(block) >= k AND len(block) <= {RATIO} * len(words)),
+      FROM blocks JOIN templates ON len(block) >= k),
 met AS (SELECT doc_id, list(DISTINCT label) AS labels, max(shared / n) AS containment FROM m WHERE shared >= k GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
        CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
