@@ -44,7 +44,7 @@ def attribute(x: np.ndarray, trees: list[dict]) -> np.ndarray:
     return out
 
 
-def path_contributions(model, columns: list[str]) -> Column:
+def path_contributions(model, columns: list[str | Column]) -> Column:
     """Array of doubles, one for each of the columns, which hold no null."""
     trees = tree_tables(model)
 
@@ -52,7 +52,7 @@ def path_contributions(model, columns: list[str]) -> Column:
     def paths(x: pd.Series) -> pd.Series:
         return pd.Series(list(attribute(np.array(x.tolist(), float).reshape(len(x), -1), trees)))
 
-    return paths(F.array(*[F.col(c).cast("double") for c in columns]))
+    return paths(F.array(*[(F.col(c) if isinstance(c, str) else c).cast("double") for c in columns]))
 
 
 def explained(contributions: Column, columns: list[str], k: int = 5) -> Column:

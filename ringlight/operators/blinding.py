@@ -1,4 +1,6 @@
-"""Tokens that a service makes without seeing the values, and a linear score on encrypted features."""
+"""Tokens that a service makes without seeing the values, and a linear score on encrypted features.
+
+Demonstrations of the protocols in plain Python numbers: random factors come from seeds, so that lost tasks repeat them."""
 
 from __future__ import annotations
 
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from .crossbank import Paillier
+from .crossbank import Paillier, leakage_checks
 
 #: The curve secp256k1 (prime, order, a * x is absent, b = 7).
 P = 0xFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFEFFFFFC2F
@@ -53,9 +55,16 @@ def token_of(point) -> str:
     return hashlib.sha256(point[0].to_bytes(32) + point[1].to_bytes(32)).hexdigest()[:32]
 
 
-def blinded_tokens(values: DataFrame, column: str, key: int, seed: str = "blind") -> DataFrame:
+def blinded_tokens(values: DataFrame, column: str, key: int, seed: str = "blind", most: int | None = None) -> DataFrame:
     """Distinct values and their tokens, in three steps: the holder blinds, the service applies its key to what
-    it can't read, the holder unblinds. Each is a pass over rows; the service's step gets blinded points alone."""
+    it can't read, the holder unblinds. Each is a pass over rows; the service's step gets blinded points alone.
+
+    The service evaluates ``most`` values at most, if given; more raise PermissionError before any is evaluated."""
+    return _blinded(values, column, key, seed, most)[0]
+
+
+def _blinded(values: DataFrame, column: str, key: int, seed: str, most: int | None) -> tuple[DataFrame, DataFrame]:
+    """The tokens, and the points that the service received (x, y)."""
 
     def factor(value: str) -> int:
         return random.Random(f"{seed}|{value}").randrange(1, ORDER)
@@ -79,11 +88,29 @@ def blinded_tokens(values: DataFrame, column: str, key: int, seed: str = "blind"
     parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     mine = values.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("value")).distinct().repartition(parts, "value").mapInPandas(blind, "value string, x string, y string")
     mine = checkpointed(mine)
+    if most is not None and mine.count() > most:
+        raise PermissionError(f"the service evaluates {most} values at most")
     served = mine.select("x", "y").mapInPandas(evaluate, "bx string, x string, y string")
-    return mine.select("value", F.col("x").alias("bx")).join(served, "bx").select("value", "x", "y").mapInPandas(unblind, "value string, token string").withColumnRenamed("value", column)
+    tokens = mine.select("value", F.col("x").alias("bx")).join(served, "bx").select("value", "x", "y").mapInPandas(unblind, "value string, token string").withColumnRenamed("value", column)
+    return tokens, mine.select("x", "y")
+
+
+def leakage_report(values: DataFrame, column: str, key: int, guess: int, seed: str = "blind") -> DataFrame:
+    """``crossbank.leakage_checks`` of one run over the values: what the hub got (tokens), what the service got (points), and
+    what someone who knows all values gets back with a guessed key."""
+    tokens, received = _blinded(values, column, key, seed, None)
+    known = values.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("value")).distinct()
+
+    def points(batches):
+        for b in batches:
+            yield pd.DataFrame({"point": [f"{to_curve(v)[0]:x}" for v in b["value"]], "token": [token_of(times(guess, to_curve(v))) for v in b["value"]]})
+
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tried = checkpointed(known.repartition(parts, "value").mapInPandas(points, "point string, token string"))
+    return leakage_checks(tokens.select("token"), known, received.select(F.col("x").alias("point")), tried.select("point"), tried.select("token"))
 
 
-def encrypted_score(rows: DataFrame, key_column: str, weights: dict[str, float], intercept: float, bits: int = 512, seed: int = 1, scale: int = 1 << 40) -> DataFrame:
+def encrypted_score(rows: DataFrame, key_column: str, weights: dict[str, float], intercept: float, bits: int = 3072, seed: int = 1, scale: int = 1 << 40) -> DataFrame:
     """``key_column`` and ``logit``: a linear score from encrypted features, fixed point with 40 binary digits.
 
     The holder encrypts its features, the scorer raises ciphertexts to its weights and multiplies them, the

@@ -7,20 +7,33 @@ from pyspark.sql import functions as F
 
 from ..session import checkpointed
 
+#: Edges of a node from which on it counts as a hub, and the most hubs that a round can have.
+HUB_EDGES, HUBS = 1_000_000, 10_000
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def _with_least(edges: DataFrame, least: DataFrame, hub: int | None) -> DataFrame:
+    """``edges`` with ``m`` of their u. Edges of one hub would meet in one task: hubs (more than ``hub`` edges, so no more than
+    edges / hub of them) are broadcast instead, and their edges stay where they are."""
+    if hub is None:
+        return edges.join(least.drop("n"), "u")
+    hubs = F.broadcast(least.where(F.col("n") > hub).drop("n"))
+    rest = edges.join(hubs.select("u"), "u", "left_anti").join(least.where(F.col("n") <= hub).drop("n"), "u")
+    return edges.join(hubs, "u").select("u", "v", "m").unionByName(rest.select("u", "v", "m"))
+
+
+def _large_star(edges: DataFrame, hub: int | None) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+    return _with_least(both.where("v > u"), least, hub).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _small_star(edges: DataFrame, hub: int | None) -> DataFrame:
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = _with_least(edges, least, hub).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 100, hub_edges: int = HUB_EDGES) -> DataFrame:
     """``node``, ``component`` of every node that has an edge to another; a component is named by its least node.
 
     Each round halves the longest path, about; every round ends in a checkpoint, so that a lost executor costs
@@ -31,7 +44,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last or not now[0]:
             break
-        last, stars = now, checkpointed(_small_star(_large_star(stars)))
+        hub = max(hub_edges, 2 * now[0] // HUBS)
+        last, stars = now, checkpointed(_small_star(_large_star(stars, hub if hub < 2 * now[0] else None), hub if hub < now[0] else None))
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def component_sizes(edges: DataFrame, least: int = 1) -> DataFrame:
+    """component, size of the components with ``least`` nodes or more."""
+    return connected_components(edges).groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") >= least)

@@ -1,39 +1,109 @@
-"""Reuse of attributes across banks, in the clear for checks and on encrypted counters."""
+"""Reuse of attributes across banks, in the clear for checks and on encrypted counters.
+
+Each bank turns what it holds into keys (``type|value``, ``type|value|identity``, ``id|identity``), keys become tokens, and
+tokens with counters meet at a hub. In a round every bank asks about its own tokens that are elsewhere too; each other
+bank fills a layout of slots, mixed with decoys, with its counters, encrypted under the asking bank's public key; the
+hub multiplies ciphertexts, and the asking bank opens totals. The encryption is a demonstration: textbook Paillier in
+plain Python numbers, with keys and random factors from seeds so that a lost task repeats them."""
 
 from __future__ import annotations
 
 import math
 import random
+from functools import cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashing import naive_token
+from ..session import checkpointed
+from .running import running_totals
+
+#: Types looked for across banks, and the strength in bits that a modulus gives.
+XB_TYPES = ("nid", "phone", "email", "device")
+SECURITY_BITS = {2048: 112, 3072: 128, 4096: 152}
+
 
 def reuse(holdings: DataFrame) -> DataFrame:
     """bank, token, other_banks: of tokens that another bank holds too, the distinct persons at the other banks."""
     per = holdings.select("bank", "token", "person_id").distinct().groupBy("bank", "token").agg(F.count("*").alias("n"))
-    total = per.groupBy("token").agg(F.sum("n").alias("total"), F.count("*").alias("banks")).where("banks > 1")
-    return per.join(total, "token").select("bank", "token", (F.col("total") - F.col("n")).alias("other_banks"))
+    return other_totals(per).where("other_banks > 0")
+
+
+def other_totals(counts: DataFrame) -> DataFrame:
+    """bank, token, other_banks of counters (bank, token, n), 0 where no other bank has one."""
+    total = counts.groupBy("token").agg(F.sum("n").alias("__total"))
+    return counts.join(total, "token").select("bank", "token", (F.col("__total") - F.col("n")).alias("other_banks"))
+
+
+def bank_keys(pii: DataFrame) -> DataFrame:
+    """``pii`` (person_id, bank, attr_type, value, idkey, first_day, onboard_day) with attr_key, pair_key and id_key."""
+    attr = F.concat_ws("|", "attr_type", "value")
+    return pii.withColumns({"attr_key": attr, "pair_key": F.concat_ws("|", attr, F.col("idkey")), "id_key": F.concat(F.lit("id|"), F.col("idkey"))})
+
+
+def live(pii: DataFrame, records: DataFrame, day: int) -> tuple[DataFrame, DataFrame]:
+    """What is held, and whose accounts there are, as of the day."""
+    return pii.where((F.col("first_day") <= day) & (F.col("onboard_day") <= day)), records.where(F.col("onboard_day") <= day)
+
+
+def live_counts(keyed: DataFrame, records: DataFrame, day: int) -> DataFrame:
+    """bank, key, n as of the day: distinct persons of attributes and of attributes with an identity, records of identities.
+    ``records``: person_id, bank, idkey, onboard_day."""
+    held, own = live(keyed, records, day)
+    pairs = held.select("bank", F.explode(F.array("attr_key", "pair_key")).alias("key"), "person_id").distinct().groupBy("bank", "key").agg(F.count("*").alias("n"))
+    return pairs.unionByName(own.groupBy("bank", F.concat(F.lit("id|"), F.col("idkey")).alias("key")).agg(F.count("*").alias("n")))
+
+
+def xb_features(keyed: DataFrame, records: DataFrame, totals: DataFrame, day: int) -> DataFrame:
+    """person_id and the 10 ``xb_*`` columns from totals (bank, key, other_banks) of the other banks; a key without a
+    total counts 0. Mismatch: the others under another identity; the most of one value stands for a type."""
+    held, own = live(keyed, records, day)
+    total = lambda key, name: totals.select("bank", F.col("key").alias(key), F.col("other_banks").alias(name))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    rows = held.join(total("attr_key", "__o"), ["bank", "attr_key"], "left").join(total("pair_key", "__s"), ["bank", "pair_key"], "left")
+    rows = rows.select("person_id", "attr_type", zero("__o").alias("o"), (zero("__o") - zero("__s")).alias("m"))
+    of = lambda t, c: F.max(F.when(F.col("attr_type") == t, F.col(c)))
+    wide = rows.groupBy("person_id").agg(*[x for t in XB_TYPES for x in (of(t, "o").alias(f"xb_{t}_other_banks"), of(t, "m").alias(f"xb_{t}_mismatch"))])
+    who = own.withColumn("id_key", F.concat(F.lit("id|"), F.col("idkey"))).join(total("id_key", "__i"), ["bank", "id_key"], "left").select("person_id", zero("__i").alias("xb_identity_other_banks"))
+    columns = [f"xb_{t}_{k}" for t in XB_TYPES for k in ("other_banks", "mismatch")]
+    out = who.join(wide, "person_id", "left").select("person_id", *[zero(c).alias(c) for c in columns], "xb_identity_other_banks")
+    return out.withColumn("xb_mismatch_total", sum((F.col(f"xb_{t}_mismatch") for t in XB_TYPES[1:]), F.col(f"xb_{XB_TYPES[0]}_mismatch")))
 
 
 class Paillier:
-    """Additively homomorphic encryption of integers below ``n``; primes from a seeded search, for tests and benches."""
+    """Additively homomorphic encryption of integers below ``n``. The primes come from a seeded search with 40 rounds
+    of the Miller-Rabin test: for tests, benches and demonstrations, not for secrets."""
 
-    def __init__(self, bits: int, seed: int):
-        r = random.Random(seed)
+    def __init__(self, bits: int, seed: int | str):
+        r = random.Random(f"paillier|{seed}")
 
         def prime(size):
             while True:
                 p = r.getrandbits(size) | 1 | 3 << (size - 2)
-                if all(pow(a, p - 1, p) == 1 for a in (2, 3, 5, 7, 11, 13)):
+                if all(p % k for k in (3, 5, 7, 11, 13, 17, 19, 23)) and self.passes(p, r):
                     return p
 
-        p, q = prime(bits // 2), prime(bits // 2)
+        p = prime(bits // 2)
+        q = prime(bits // 2)
+        while q == p:
+            q = prime(bits // 2)
         self.n, self.square = p * q, (p * q) ** 2
         self.secret = math.lcm(p - 1, q - 1)
         self.inverse = pow(self.secret, -1, self.n)
 
+    @staticmethod
+    def passes(p: int, r: random.Random, rounds: int = 40) -> bool:
+        odd, twos = p - 1, 0
+        while odd % 2 == 0:
+            odd, twos = odd // 2, twos + 1
+        for _ in range(rounds):
+            x = pow(r.randrange(2, p - 1), odd, p)
+            if x not in (1, p - 1) and all((x := x * x % p) != p - 1 for _ in range(twos - 1)):
+                return False
+        return True
+
     def encrypt(self, m: int, r: int) -> int:
         return (1 + m * self.n) * pow(r, self.n, self.square) % self.square
 
@@ -41,37 +111,112 @@ class Paillier:
         return (pow(c, self.secret, self.square) - 1) // self.n * self.inverse % self.n
 
 
-def encrypted_reuse(holdings: DataFrame, bits: int = 256, slot_bits: int = 24, seed: int = 1) -> DataFrame:
-    """The same as ``reuse``, by sums of encrypted, packed counters.
+@cache
+def bank_paillier(bits: int, seed: int, bank: str) -> Paillier:
+    """The key pair of one bank; made anew, and equal, in each process."""
+    return Paillier(bits, f"{seed}|{bank}")
 
-    Tokens that several banks hold get slots; slots are packed into blocks of one ciphertext each. Every bank
-    encrypts its block, blocks are multiplied across banks, and each bank takes its own counters off the sum."""
-    key = Paillier(bits, seed)
+
+def _numbered(rows: DataFrame, by: list[str], order: list) -> DataFrame:
+    return running_totals(rows, by, order, {"__no": F.lit(1)})
+
+
+def round_requests(counts: DataFrame, decoy_ratio: float = 0.5, seed: int = 1) -> DataFrame:
+    """asker, bank, token, n, real, slot: the hub's requests to every bank with the counters that they are filled with.
+
+    Real slots: the asker's tokens that are at another bank, numbered in the order of tokens and the same for whoever
+    fills them. Decoys: for the real tokens that a bank fills in, ``decoy_ratio`` times as many others of its own (or
+    all that it has), drawn by hash, each in a slot of its own behind the real ones. ``shuffled`` is the order in which a bank
+    gets its requests: by hash, so that decoys don't stand apart."""
+    spread = counts.groupBy("token").agg(F.count("*").alias("banks")).where("banks > 1").select("token")
+    asked = counts.join(spread, "token", "left_semi").select(F.col("bank").alias("asker"), "token")
+    asked = checkpointed(_numbered(asked, ["asker"], [F.col("token")]).select("asker", "token", (F.col("__no") - 1).cast("long").alias("slot")))
+    real = checkpointed(asked.join(counts, "token").where("asker <> bank").select("asker", "bank", "token", "n", F.lit(True).alias("real"), "slot"))
+    want = real.groupBy("asker", "bank").agg(F.floor(F.count("*") * decoy_ratio).alias("__want"))  # a row for each two banks
+    pool = counts.join(F.broadcast(want), "bank").join(asked.select("asker", "token"), ["asker", "token"], "left_anti")
+    drawn = _numbered(pool.withColumn("__h", F.xxhash64(F.lit(seed), "asker", "bank", "token")), ["asker", "bank"], [F.col("__h"), F.col("token")]).where("__no <= __want")
+    behind = asked.groupBy("asker").agg((F.max("slot") + 1).alias("__base"))
+    decoys = _numbered(drawn.drop("__no"), ["asker"], [F.col("bank"), F.col("__h"), F.col("token")]).join(F.broadcast(behind), "asker")
+    decoys = decoys.select("asker", "bank", "token", "n", F.lit(False).alias("real"), (F.col("__base") + F.col("__no") - 1).cast("long").alias("slot"))
+    return real.unionByName(decoys).withColumn("shuffled", F.xxhash64(F.lit(seed), F.lit("order"), "asker", "bank", "token"))
+
+
+def encrypted_totals(requests: DataFrame, bits: int = 3072, slot_bits: int = 16, seed: int = 1) -> DataFrame:
+    """asker, token, other_banks of the real requests, by sums of encrypted, packed counters.
+
+    A block of slots is one ciphertext of each bank; blocks are the groups of all steps, so no bank's counters ever
+    meet in one task, and blocks of decoys alone are encrypted and sent like all others. A counter that doesn't fit
+    its slot raises OverflowError, and so does one whose sum over all banks might not."""
     slots = (bits - 2) // slot_bits
-    n, square, secret, inverse = key.n, key.square, key.secret, key.inverse
-    per = holdings.select("bank", "token", "person_id").distinct().groupBy("bank", "token").agg(F.count("*").alias("n"))
-    shared = per.groupBy("token").agg(F.count("*").alias("banks")).where("banks > 1").select("token")
-    # Places within a range of hashes: no window over all tokens at once.
-    part = F.pmod(F.xxhash64("token"), F.lit(64))
-    placed = shared.select("token", part.alias("part"), (F.row_number().over(Window.partitionBy(part).orderBy("token")) - 1).alias("slot"))
-    placed = placed.select("token", "part", F.floor(F.col("slot") / slots).alias("block"), (F.col("slot") % slots).cast("int").alias("place"))
-    own = per.join(placed, "token")
+    banks = requests.select("bank").distinct().count()
+    placed = requests.select("asker", "bank", "token", "n", "real", F.floor(F.col("slot") / slots).alias("block"), (F.col("slot") % slots).cast("int").alias("place"))
+    asker = requests.schema["asker"].dataType.simpleString()
 
     def encrypt(pdf: pd.DataFrame) -> pd.DataFrame:
-        if (pdf["n"] >= 1 << slot_bits).any():
+        if (pdf["n"] * banks >= 1 << slot_bits).any():
             raise OverflowError("a counter does not fit its slot")
-        message = sum(int(c) << (slot_bits * int(p)) for c, p in zip(pdf["n"], pdf["place"], strict=True))
         first = pdf.iloc[0]
-        r = random.Random(f"{seed}|{first['bank']}|{first['part']}|{first['block']}").randrange(2, n)
-        return pd.DataFrame({"part": [first["part"]], "block": [first["block"]], "cipher": [str((1 + message * n) * pow(r, n, square) % square)]})
+        key = bank_paillier(bits, seed, str(first["asker"]))  # public part: n and its square
+        message = sum(int(c) << (slot_bits * int(p)) for c, p in zip(pdf["n"], pdf["place"], strict=True))
+        r = random.Random(f"{seed}|{first['asker']}|{first['bank']}|{first['block']}").randrange(2, key.n)
+        return pd.DataFrame({"asker": [first["asker"]], "block": [first["block"]], "cipher": [str(key.encrypt(message, r))]})
 
-    def open_sum(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = 1
-        for c in pdf["cipher"]:
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[0]
+        square, total = bank_paillier(bits, seed, str(first["asker"])).square, 1
+        for c in pdf["cipher"]:  # one for each other bank
             total = total * int(c) % square
-        m = (pow(total, secret, square) - 1) // n * inverse % n
-        return pd.DataFrame({"part": pdf["part"].iloc[0], "block": pdf["block"].iloc[0], "place": range(slots), "total": [m >> (slot_bits * k) & ((1 << slot_bits) - 1) for k in range(slots)]})
-
-    ciphers = own.select("bank", "part", "block", "place", "n").groupBy("bank", "part", "block").applyInPandas(encrypt, "part long, block long, cipher string")
-    sums = ciphers.groupBy("part", "block").applyInPandas(open_sum, "part long, block long, place int, total long")
-    return own.join(sums, ["part", "block", "place"]).select("bank", "token", (F.col("total") - F.col("n")).alias("other_banks"))
+        return pd.DataFrame({"asker": [first["asker"]], "block": [first["block"]], "cipher": [str(total)]})
+
+    def opened(batches):
+        for b in batches:
+            out = {"asker": [], "block": [], "place": [], "total": []}
+            for who, block, c in zip(b["asker"], b["block"], b["cipher"], strict=True):
+                m = bank_paillier(bits, seed, str(who)).decrypt(int(c))
+                out["asker"] += [who] * slots
+                out["block"] += [block] * slots
+                out["place"] += range(slots)
+                out["total"] += [m >> (slot_bits * k) & ((1 << slot_bits) - 1) for k in range(slots)]
+            yield pd.DataFrame(out)
+
+    cipher = f"asker {asker}, block long, cipher string"
+    sent = placed.groupBy("asker", "bank", "block").applyInPandas(encrypt, cipher)
+    sums = sent.groupBy("asker", "block").applyInPandas(add, cipher).mapInPandas(opened, f"asker {asker}, block long, place int, total long")
+    return placed.where("real").select("asker", "token", "block", "place").distinct().join(sums, ["asker", "block", "place"]).select("asker", "token", F.col("total").alias("other_banks"))
+
+
+def encrypted_reuse(holdings: DataFrame, bits: int = 3072, slot_bits: int = 16, decoy_ratio: float = 0.5, seed: int = 1) -> DataFrame:
+    """The same as ``reuse``, by one round of encrypted counters."""
+    per = checkpointed(holdings.select("bank", "token", "person_id").distinct().groupBy("bank", "token").agg(F.count("*").alias("n")))
+    return encrypted_totals(round_requests(per, decoy_ratio, seed), bits, slot_bits, seed).select(F.col("asker").alias("bank"), "token", "other_banks")
+
+
+def round_statistics(requests: DataFrame, totals: DataFrame, counts: DataFrame, bits: int, slot_bits: int = 16) -> DataFrame:
+    """One row: real_slots, decoy_slots, ciphertexts, bytes, slots_per_ciphertext, security_bits, and max_abs_error of the
+    totals against the clear (which only a simulation can see)."""
+    slots = (bits - 2) // slot_bits
+    r = requests.agg(F.count_distinct(F.when(F.col("real"), F.struct("asker", "slot"))).alias("real_slots"), F.count(F.when(~F.col("real"), 1)).alias("decoy_slots"), F.count_distinct("asker", "bank", F.floor(F.col("slot") / slots)).alias("ciphertexts"))
+    clear = other_totals(counts).withColumnsRenamed({"bank": "asker", "other_banks": "__clear"})
+    e = totals.join(clear, ["asker", "token"], "left").agg(F.coalesce(F.max(F.abs(F.col("other_banks") - F.col("__clear"))), F.lit(0)).cast("long").alias("max_abs_error"))
+    return r.crossJoin(e).withColumns({"bytes": F.col("ciphertexts") * ((2 * bits + 7) // 8), "slots_per_ciphertext": F.lit(slots), "security_bits": F.lit(SECURITY_BITS.get(bits))})
+
+
+def leakage_checks(hub_tokens: DataFrame, raw_values: DataFrame, service_points: DataFrame, clear_points: DataFrame, guesses: DataFrame) -> DataFrame:
+    """One row of what the hub and the service got: strings that are no tokens, raw values, points of unblinded values, and
+    the shares of values that a dictionary of all values gets back from naive tokens, and from the hub's with a guessed key.
+
+    Columns: hub_tokens(token), raw_values(value), service_points(point), clear_points(point), guesses(token)."""
+    tokens, values = hub_tokens.select("token").distinct(), raw_values.select("value").distinct()
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    naive = values.select(naive_token(F.col("value")).alias("token"))
+    attacker = values.select(naive_token(F.col("value")).alias("token"))
+    share = lambda df, total, name: df.crossJoin(total).select(F.coalesce(F.try_divide(df[df.columns[0]], total[total.columns[0]]), F.lit(0.0)).alias(name))  # noqa: E731  # one row each
+    out = count(tokens.where(~F.col("token").rlike("^[0-9a-f]{32}$")), "hub_strings_not_tokens")
+    for part in (
+        count(tokens.join(values.withColumnRenamed("value", "token"), "token", "left_semi"), "raw_values_at_hub"),
+        count(service_points.distinct().join(clear_points.distinct(), "point", "left_semi"), "unblinded_points_at_service"),
+        share(count(naive.join(attacker, "token", "left_semi"), "a"), count(values, "b"), "naive_recovered"),
+        share(count(guesses.select("token").distinct().join(tokens, "token", "left_semi"), "a"), count(guesses.select("token").distinct(), "b"), "blinded_recovered"),
+    ):
+        out = out.crossJoin(part)
+    return out

@@ -1,45 +1,159 @@
-"""Feature families of a snapshot, and the rules on them."""
+"""Feature families of a snapshot, their assembly, and the rules on them."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numeric import FIRST_YEAR, MONTH_DAYS, age_at
+from . import communities, graph
+from .components import connected_components
+
+#: Attribute types, the strong ones among them, and the kinds of addresses and networks.
+ATTR_TYPES = ("nid", "phone", "email", "address", "device", "ip", "employer")
+STRONG_TYPES = ("nid", "phone", "email", "address", "device")
+ADDRESS_TYPES = ("residential", "mail_drop", "commercial")
+IP_TYPES = ("residential", "cgnat", "public_wifi", "office", "datacenter", "vpn")
+
+#: The rules of the existing system.
+RULES = {
+    "telephone_partage_>=2": "g_share_phone >= 2", "appareil_partage_>=2": "g_share_device >= 2", "adresse_domiciliation": "app_address_mail_drop + app_address_commercial > 0",
+    "email_cree_<60j": "app_email_age_at_onboard < 60", "telephone_voip": "app_phone_voip = 1", "ip_datacenter_vpn": "app_ip_datacenter + app_ip_vpn > 0", "nid_plusieurs_identites": "g_nid_identity_mismatch >= 1",
+    "hausses_plafond_>=3": "beh_lir_count >= 3", "email_jetable": "app_email_disposable = 1", "emulateur": "app_device_emulator = 1",
+}
 
-def application(persons: DataFrame, day: int, kinds: dict[str, list[str]]) -> DataFrame:
-    """Tenure, income and one 0/1 column for each listed value of each listed column."""
-    flags = [(F.col(c) == v).cast("int").alias(f"app_{c}_{v}".lower().replace(" ", "_")) for c, values in kinds.items() for v in values]
-    return persons.select("person_id", (F.lit(day) - F.col("onboard_day")).alias("app_tenure_days"), F.col("income").alias("app_income"), *flags)
+
+def application(persons: DataFrame, day: int, first_year: int = FIRST_YEAR) -> DataFrame:
+    """person_id and the 21 ``app_*`` columns: ages of the person, the account, the credit file and the contacts, and
+    0/1 marks. A mark whose column is null is 0."""
+    since = lambda c: F.col("onboard_day") - F.col(c)
+    mark = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    columns = {
+        "app_age": age_at(day, F.col("birth_year"), first_year),
+        "app_tenure_days": F.lit(day) - F.col("onboard_day"),
+        "app_file_age_at_onboard": since("file_start_day"),
+        "app_file_age": F.lit(day) - F.col("file_start_day"),
+        "app_income": F.col("income"),
+        "app_email_age_at_onboard": since("email_created_day"),
+        "app_email_disposable": mark(F.col("email_disposable")),
+        "app_email_popular_domain": mark(F.col("email_popular_domain")),
+        "app_phone_voip": mark(F.col("phone_voip")),
+        "app_phone_age_at_onboard": since("phone_first_seen"),
+    }
+    columns |= {f"app_address_{t}": mark(F.col("address_type") == t) for t in ADDRESS_TYPES}
+    columns |= {f"app_ip_{t}": mark(F.col("app_ip_type") == t) for t in IP_TYPES}
+    columns |= {"app_device_emulator": mark(F.col("app_device_emulator")), "app_has_employer": mark(F.col("has_employer"))}
+    return persons.select("person_id", *[c.alias(k) for k, c in columns.items()])
 
 
 def behaviour_life(monthly: DataFrame) -> DataFrame:
-    """Over all completed months."""
+    """The 9 ``beh_*`` columns over all completed months."""
     first, last = F.min_by("credit_limit", "month"), F.max_by("credit_limit", "month")
+    asked = F.sum("limit_increase_request").cast("long")
     return monthly.groupBy("person_id").agg(
-        F.count("*").alias("beh_months"), F.sum("late").cast("long").alias("beh_late_count"), F.avg((F.col("pay_ratio") >= 0.99).cast("double")).alias("beh_pay_full_share"),
-        last.alias("beh_limit_last"), F.try_divide(last, first).alias("beh_limit_growth"),
+        F.count("*").alias("beh_months"), asked.alias("beh_lir_count"), F.sum("limit_increase_granted").cast("long").alias("beh_lir_granted"), F.sum("late").cast("long").alias("beh_late_count"),
+        F.sum("returned_payment").cast("double").alias("beh_returned_count"), F.avg((F.col("pay_ratio") >= 0.99).cast("double")).alias("beh_pay_full_share"),
+        last.alias("beh_limit_last"), F.try_divide(asked, F.count("*")).alias("beh_lir_rate"), F.try_divide(last, first).alias("beh_limit_growth"),
     )
 
 
 def behaviour_recent(monthly: DataFrame, day: int, months: int = 6) -> DataFrame:
-    """Over the last completed months before T."""
-    recent = monthly.where(F.col("month") >= day // 30 - months)
+    """The 8 ``beh_*`` columns over the last completed months before T."""
+    recent = monthly.where(F.col("month") >= day // MONTH_DAYS - months)
     return recent.groupBy("person_id").agg(
-        F.avg("utilization").alias("beh_util_mean"), F.stddev_samp("utilization").alias("beh_util_std"), F.max("utilization").alias("beh_util_max"), F.avg("pay_ratio").alias("beh_pay_mean"),
-        F.stddev_samp("pay_ratio").alias("beh_pay_std"), F.avg("n_txn").alias("beh_txn_mean"), F.try_divide(F.sum("cash_advance"), F.sum("spend")).alias("beh_cash_share"),
+        F.avg("utilization").alias("beh_util_mean6"), F.stddev_samp("utilization").alias("beh_util_std6"), F.max("utilization").alias("beh_util_max6"), F.avg("pay_ratio").alias("beh_pay_mean6"),
+        F.stddev_samp("pay_ratio").alias("beh_pay_std6"), F.avg("n_txn").alias("beh_txn_mean6"), F.avg("n_mcc").alias("beh_mcc_mean6"), F.try_divide(F.sum("cash_advance"), F.sum("spend")).alias("beh_cash_share6"),
     )
 
 
+def behaviour(monthly: DataFrame, day: int) -> DataFrame:
+    """Both, in one row a person: null where there is no recent month."""
+    return behaviour_life(monthly).join(behaviour_recent(monthly, day), "person_id", "left")
+
+
+#: Of these ``g_*`` columns, absence means 0.
+GRAPH_COUNTS = (
+    *[f"g_share_{t}" for t in ATTR_TYPES], "g_max_strong_share", "g_attr_known_links", "g_nid_identity_mismatch", "g_proj_degree", "g_proj_wdegree", "g_known_fraud_1hop", "g_known_fraud_2hop_paths",
+    "g_transfer_out_cp", "g_transfer_in_cp", "g_au_hosts", "g_au_dependents", "g_au_host_max_dependents", "g_similar_count", "g_small_merchant_covisitors",
+)
+
+
+def snapshot_projection(s: dict[str, DataFrame], token_cap: int = 30, merchant_cap: int = 15) -> DataFrame:
+    """src, dst, w of the person-person graph of a snapshot."""
+    links = [(s["transfers"], "src", "dst"), (s["authorized_users"], "person_id", "host_person_id")]
+    if "similar" in s:
+        links.append((s["similar"], "a", "b"))
+    return graph.projection([(s["person_attr"], "token", token_cap), (s["paid_at"], "merchant_token", merchant_cap)], links)
+
+
+def graph_counts(s: dict[str, DataFrame], edges: DataFrame, merchant_cap: int = 15) -> DataFrame:
+    """person_id and the columns of ``GRAPH_COUNTS`` for every person of the snapshot; ``edges``: its projection.
+
+    Each part makes some of the columns; the parts are stacked and meet in one aggregate, not in a chain of joins."""
+    persons = s["persons"].select("person_id", "known_fraud", "id_token")
+    known = persons.where("known_fraud").select("person_id")
+    parts = [
+        graph.attribute_shares(s["person_attr"], known, ATTR_TYPES, STRONG_TYPES),
+        graph.identity_mismatch(s["person_attr"].where("attr_type = 'nid'"), persons),
+        graph.degrees(edges).select(F.col("src").alias("person_id"), F.col("degree").alias("g_proj_degree"), F.col("weighted_degree").alias("g_proj_wdegree")),
+        graph.hop_counts(edges, known).select("person_id", F.col("hop1").alias("g_known_fraud_1hop"), F.col("hop2").alias("g_known_fraud_2hop_paths")),
+        graph.counterparties(s["transfers"]),
+        graph.host_measures(s["authorized_users"]),
+        graph.covisitors(s["paid_at"], "merchant_token", merchant_cap).withColumnRenamed("covisitors", "g_small_merchant_covisitors"),
+    ]
+    if "similar" in s:
+        parts.append(graph.similar_count(s["similar"]))
+    typed = [p.select("person_id", *[F.col(c).cast("double").alias(c) for c in p.columns if c != "person_id"]) for p in parts]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), typed, persons.select("person_id"))
+    missing = [c for c in GRAPH_COUNTS if c not in stacked.columns]
+    stacked = stacked.withColumns({c: F.lit(0.0) for c in missing}) if missing else stacked
+    return stacked.groupBy("person_id").agg(*[F.coalesce(F.max(c), F.lit(0.0)).alias(c) for c in GRAPH_COUNTS]).join(persons.select("person_id"), "person_id", "left_semi")
+
+
+def graph_groups(s: dict[str, DataFrame], edges: DataFrame) -> DataFrame:
+    """person_id, ``community``, g_wcc_size, g_comm_size, g_comm_known_share and g_pagerank of every person. One without
+    edges is a component and a community of its own, named by no other (null), of size 1."""
+    persons = s["persons"].select("person_id", "known_fraud")
+    component = connected_components(edges)
+    size = component.join(component.groupBy("component").agg(F.count("*").alias("g_wcc_size")), "component").select(F.col("node").alias("person_id"), "g_wcc_size")
+    found = communities.communities(edges)
+    share = communities.community_known(found, persons.where("known_fraud").select("person_id")).select(F.col("node").alias("person_id"), "community", F.col("size").alias("g_comm_size"), F.col("known_share").alias("g_comm_known_share"))
+    rank = graph.pagerank(edges, persons).withColumnRenamed("pagerank", "g_pagerank")
+    out = persons.select("person_id").join(size, "person_id", "left").join(share, "person_id", "left").join(rank, "person_id", "left")
+    one = lambda c, v: F.coalesce(F.col(c).cast("double"), F.lit(v)).alias(c)
+    return out.select("person_id", "community", one("g_wcc_size", 1.0), one("g_comm_size", 1.0), one("g_comm_known_share", 0.0), "g_pagerank")
+
+
+def feature_table(s: dict[str, DataFrame], day: int, edges: DataFrame, merchant_cap: int = 15, first_year: int = FIRST_YEAR) -> DataFrame:
+    """One row a person: person_id, T, all ``app_*``, ``beh_*`` and ``g_*`` columns, scored, known_fraud, community."""
+    app, beh = application(s["persons"], day, first_year), behaviour(s["monthly"], day)
+    out = app.join(beh, "person_id", "left").join(graph_counts(s, edges, merchant_cap), "person_id", "left").join(graph_groups(s, edges), "person_id", "left")
+    return out.join(s["persons"].select("person_id", "scored", "known_fraud"), "person_id").withColumn("T", F.lit(day))
+
+
+def columns_of(df: DataFrame, *prefixes: str) -> list[str]:
+    """Columns whose name begins with one of the prefixes, in order."""
+    return [c for c in df.columns if c.startswith(prefixes)]
+
+
 def rule_hits(rules: dict[str, str], tie: Column) -> Column:
     """Rules met (unknown: not met), and a hundredth of log(1 + tie) to order equals."""
     hits = [F.coalesce(F.expr(r), F.lit(False)).cast("int") for r in rules.values()]
     return sum(hits[1:], hits[0]) + F.lit(0.01) * F.log1p(tie)
 
 
+def rules_score(rows: DataFrame) -> DataFrame:
+    """``rules``: hits of the fixed rules, equals by shared phones and devices."""
+    return rows.withColumn("rules", rule_hits(RULES, F.col("g_share_phone") + F.col("g_share_device")))
+
+
 def univariate_audit(rows: DataFrame, y: str, columns: list[str], limit: float = 0.9) -> DataFrame:
     """For each column: max(AUC, 1 - AUC) of the column alone, and whether it passes the limit; constants are absent."""
     from .evaluation import roc_auc
 
     long = rows.select(F.col(y), F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])))
+    # A row for each column of the list: small whatever the data.
     filled = long.join(F.broadcast(long.groupBy("feature").agg(F.median("value").alias("m"), F.count_distinct("value").alias("d"))), "feature").where("d > 1").withColumn("value", F.coalesce("value", "m"))
     return roc_auc(filled, y, "value", "feature").select("feature", F.greatest("auc", 1 - F.col("auc")).alias("auc")).withColumn("suspect", F.col("auc") > limit)

@@ -38,6 +38,38 @@ def alert_comparison(rows: DataFrame, y: str, ring: str, flags: dict[str, str])
     return reduce(DataFrame.unionByName, out)
 
 
+def criteria(models: dict[str, dict], privacy: dict, limits: dict, holdout: list[str]) -> tuple[dict, list[tuple]]:
+    """The metrics and the ten criteria of ``go_no_go`` from metrics by model: pr_auc, recall_at_3 (recall at the budget of
+    the most sophisticated level), ring_recall, median_lead_days, confounder_mean and recall_by_scenario. Criteria of
+    other banks and of encryption hold only if ``privacy`` has their figures."""
+    best = max(models, key=lambda m: (models[m]["pr_auc"], m))
+    base = [m for m in ("rules", "trees_tab", "trees_graph") if m in models]
+    nets = [m for m in models if m.startswith("network")]
+    graph = [m for m in models if m not in ("rules", "trees_tab")]
+    top = lambda names, k: max((models[m].get(k) or 0.0 for m in names), default=None)
+    seen = [models[best]["recall_by_scenario"].get(x) for x in holdout]
+    seen = [x for x in seen if x is not None]
+    gain = None if not (nets and base) else top(nets, "pr_auc") - top(base, "pr_auc")
+    values = {
+        "network_gain": gain, "level_3_graph": top(graph, "recall_at_3"), "level_3_tab": models.get("trees_tab", {}).get("recall_at_3"), "ring_recall": models[best].get("ring_recall"), "lead": models[best].get("median_lead_days"),
+        "confounders": models[best].get("confounder_mean"), "confounders_rules": models.get("rules", {}).get("confounder_mean"), "unseen": min(seen) if seen else None,
+    }
+    out = [
+        ("The best network beats the best baseline in PR-AUC", "network_gain", ">", limits["min_pr_auc_gain_vs_best_baseline"]), ("Level 3: the graph does better than tables alone", "level_3_graph", ">", "level_3_tab"),
+        ("Rings found before the bust-out", "ring_recall", ">=", limits["min_ring_recall_before_bust_out"]), ("Median lead in days", "lead", ">=", limits["min_lead_time_days"]),
+        ("Alerts on honest look-alikes, against the rules", "confounders", "<=", "confounders_rules"), ("Scenarios never trained on are found", "unseen", ">", 0),
+    ]
+    if gain is None:
+        out = out[1:]
+    if privacy and "trees_xb" in models:
+        values |= {"xb_gain": models["trees_xb"]["pr_auc"] - models["trees_graph"]["pr_auc"], "raw": max(privacy["raw_values_at_hub"], privacy["unblinded_points_at_service"]), "security": privacy["security_bits"] or 0, "error": privacy["max_abs_error_logit"], "latency": privacy["total_ms_per_request"]}
+        out += [
+            ("Gain by columns of other banks in PR-AUC", "xb_gain", ">", 0), ("Raw values or unblinded points at hub and service", "raw", "<=", 0), ("Security of the encryption in bits", "security", ">=", 128),
+            ("Largest error of the encrypted score", "error", "<=", limits["max_encrypted_score_abs_error"]), ("Milliseconds of an encrypted score", "latency", "<", 1000),
+        ]
+    return values, out
+
+
 def go_no_go(metrics: dict[str, float | None], criteria: list[tuple[str, str, str, float | str]]) -> list[dict]:
     """Each criterion (title, metric, comparison, limit); a limit may name another metric. An unknown value fails."""
     out = []

@@ -1,12 +1,27 @@
-"""The abstract tables (persons, attributes, months, ...) bound to the star schema; day 0 is 1995-01-01."""
+"""The abstract tables (persons, attributes, months, ...) bound to the star schema; day 0 is 1995-01-01.
+
+The test tables hold no such columns as a phone or a credit file, so these are functions of the customer's key, or
+tokens of what was ordered; they are there to exercise the operators, and mean nothing. Tables that many queries
+share are stored once a session, narrow and by type, in place of a join of orders and lineitem in each query."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.features import IP_TYPES
+from ..operators.snapshot import snapshot
+from ..session import stored
+
 #: The snapshot day of the queries: 1999-01-01.
-DAY = 1461
+DAY, FIRST_YEAR = 1461, 1995
+#: Attribute types, each with the columns of an order line that make its token.
+SCHEMES = {
+    "half": ("l_partkey", "year", "half"), "year": ("l_partkey", "year"), "lot": ("l_partkey", "l_suppkey"),
+    "nid": ("l_partkey", "l_suppkey"), "phone": ("l_partkey", "year", "half"), "email": ("l_partkey", "l_suppkey", "year"), "address": ("l_partkey", "year"),
+    "device": ("l_partkey", "year", "quarter"), "ip": ("l_suppkey", "week"), "employer": ("l_suppkey", "year", "half"),
+}
+PERSON_KINDS = ("nid", "phone", "email", "address", "device", "ip", "employer")
 
 
 class Tables:
@@ -16,28 +31,54 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def kept(self, name: str, build) -> DataFrame:
+        return stored(self.spark, (self.dir, name), build)
+
     @staticmethod
-    def day(c: str):
+    def day(c: str) -> Column:
         return F.datediff(F.col(c).cast("date"), F.lit("1995-01-01").cast("date"))
 
     def persons(self) -> DataFrame:
+        return self.kept("persons", self._persons)
+
+    def _persons(self) -> DataFrame:
         first = self.read("orders").groupBy(F.col("o_custkey").alias("person_id")).agg(F.min(self.day("o_orderdate")).alias("onboard_day"))
         nation = self.read("nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("bank"))
-        c = self.read("customer").join(F.broadcast(nation), "c_nationkey")
-        return c.select(F.col("c_custkey").alias("person_id"), "bank", F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("income"), F.lit(None).cast("int").alias("close_day")).join(first, "person_id")
+        c = self.read("customer").join(F.broadcast(nation), "c_nationkey")  # 25 rows
+        named = c.select(F.col("c_custkey").alias("person_id"), "bank", F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("income"), F.lit(None).cast("int").alias("close_day")).join(first, "person_id")
+        k, day = F.col("person_id"), F.col("onboard_day")
+        return named.select(
+            "*", (1940 + k % 60).cast("int").alias("birth_year"), (day - 30 - k * 37 % 3000).cast("int").alias("file_start_day"), F.concat_ws(":", "nation", "segment", k % 3).alias("id_token"),
+            (day - k * 53 % 2000).cast("double").alias("email_created_day"), (k % 40 == 0).alias("email_disposable"), (k % 3 != 0).alias("email_popular_domain"), (k % 25 == 0).alias("phone_voip"),
+            (day - k * 71 % 2500).cast("double").alias("phone_first_seen"), F.when(k % 10 == 0, "mail_drop").when(k % 10 == 1, "commercial").otherwise("residential").alias("address_type"),
+            F.element_at(F.array(*map(F.lit, IP_TYPES)), (k % 6 + 1).cast("int")).alias("app_ip_type"), (k % 50 == 0).alias("app_device_emulator"), (F.col("segment") != "HOUSEHOLD").alias("has_employer"),
+        )
 
     def items(self) -> DataFrame:
-        o = self.read("orders").select("o_orderkey", F.col("o_custkey").alias("person_id"), self.day("o_orderdate").alias("day"), F.year("o_orderdate").alias("year"), F.when(F.month("o_orderdate") <= 6, 1).otherwise(2).alias("half"))
-        return o.join(self.read("lineitem").withColumnRenamed("l_orderkey", "o_orderkey"), "o_orderkey")
+        return self.kept("items", self._items)
+
+    def _items(self) -> DataFrame:
+        month = F.month("o_orderdate")
+        o = self.read("orders").select("o_orderkey", "o_totalprice", F.col("o_custkey").alias("person_id"), self.day("o_orderdate").alias("day"), F.year("o_orderdate").alias("year"), F.when(month <= 6, 1).otherwise(2).alias("half"), F.quarter("o_orderdate").alias("quarter"))
+        o = o.withColumn("week", F.floor(F.col("day") / 7))
+        lines = self.read("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", self.day("l_shipdate").alias("ship_day"))
+        return o.join(lines, "o_orderkey")
 
     def person_attr(self, *kinds: str) -> DataFrame:
-        """attr_type, person_id, token, first_day for the schemes half, year and lot."""
-        tokens = {"half": F.concat_ws(":", "l_partkey", "year", "half"), "year": F.concat_ws(":", "l_partkey", "year"), "lot": F.concat_ws(":", "l_partkey", "l_suppkey")}
-        both = F.inline(F.array(*[F.struct(F.lit(k).alias("attr_type"), tokens[k].alias("token")) for k in kinds]))
-        return self.items().select("person_id", "day", both).groupBy("person_id", "attr_type", "token").agg(F.min("day").alias("first_day"))
+        """attr_type, person_id, token, first_day of the named schemes."""
+        parts = [self.kept(f"attr:{k}", lambda k=k: self._attr(k)).select("person_id", F.lit(k).alias("attr_type"), "token", "first_day") for k in kinds]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    def _attr(self, kind: str) -> DataFrame:
+        named = kind in PERSON_KINDS
+        token = F.concat_ws(":", *([F.lit(kind)] if named else []), *SCHEMES[kind])
+        return self.items().groupBy("person_id", token.alias("token")).agg(F.min("day").alias("first_day"))
 
     def paid_at(self) -> DataFrame:
-        return self.items().groupBy("person_id", F.concat_ws(":", "l_suppkey", F.floor(F.col("day") / 30)).alias("merchant_token")).agg(F.min("day").alias("first_day"))
+        return self.kept("paid_at", lambda: self.items().groupBy("person_id", F.concat_ws(":", "l_suppkey", F.floor(F.col("day") / 30)).alias("merchant_token")).agg(F.min("day").alias("first_day")))
 
     def transfers(self) -> DataFrame:
         """From each order's customer to the next order's, by order key (keys are dense: a join, no global window)."""
@@ -50,14 +91,48 @@ class Tables:
         host = p.groupBy("nation", "segment").agg(F.min("person_id").alias("host_person_id"))
         return p.join(host, ["nation", "segment"]).where("person_id <> host_person_id").select("person_id", "host_person_id", F.col("onboard_day").alias("first_day"))
 
+    def similar(self) -> DataFrame:
+        """Pairs of one nation, segment and birth year."""
+        p = self.persons().select("nation", "segment", "birth_year", "person_id", "onboard_day")
+        a, b = p.withColumnsRenamed({"person_id": "a", "onboard_day": "da"}), p.withColumnsRenamed({"person_id": "b", "onboard_day": "db"})
+        return a.join(b, ["nation", "segment", "birth_year"]).where("a < b").select("a", "b", F.greatest("da", "db").alias("first_day"))
+
     def monthly(self) -> DataFrame:
-        o = self.items().join(self.read("orders").select("o_orderkey", "o_totalprice"), "o_orderkey")
-        g = o.groupBy("person_id", F.floor(F.col("day") / 30).cast("int").alias("month")).agg(F.sum("l_extendedprice").alias("spend"), F.count("*").alias("n_txn"), F.max("o_totalprice").alias("credit_limit"), (1 - F.avg("l_discount")).alias("pay_ratio"), F.max((F.col("l_returnflag") == "R").cast("int")).alias("late"), F.sum(F.when(F.col("l_returnflag") == "A", F.col("l_extendedprice")).otherwise(0.0)).alias("cash_advance"))
+        return self.kept("monthly", self._monthly)
+
+    def _monthly(self) -> DataFrame:
+        flag = lambda c: F.max(c.cast("int"))
+        g = self.items().groupBy("person_id", F.floor(F.col("day") / 30).cast("int").alias("month")).agg(
+            F.sum("l_extendedprice").alias("spend"), F.count("*").alias("n_txn"), F.max("o_totalprice").alias("credit_limit"), (1 - F.avg("l_discount")).alias("pay_ratio"), flag(F.col("l_returnflag") == "R").alias("late"),
+            F.sum(F.when(F.col("l_returnflag") == "A", F.col("l_extendedprice")).otherwise(0.0)).alias("cash_advance"), flag(F.col("l_quantity") >= 40).alias("limit_increase_request"), flag(F.col("l_quantity") >= 45).alias("limit_increase_granted"),
+            F.sum(F.when((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 30), 1.0).otherwise(0.0)).alias("returned_payment"), F.size(F.collect_set(F.col("l_suppkey") % 20)).alias("n_mcc"),
+        )
         return g.withColumn("utilization", F.col("spend") / (F.col("spend") + F.col("credit_limit")))
 
     def confirmations(self) -> DataFrame:
-        return self.items().where("l_returnflag = 'R' and l_quantity >= 50").groupBy("person_id").agg(F.min(self.day("l_shipdate")).alias("confirmed_day"))
+        return self.items().where("l_returnflag = 'R' and l_quantity >= 50").groupBy("person_id").agg(F.min("ship_day").alias("confirmed_day"))
+
+    def snapshot(self, day: int = DAY, kinds: tuple[str, ...] = PERSON_KINDS) -> dict[str, DataFrame]:
+        tables = {"persons": self.persons(), "person_attr": self.person_attr(*kinds), "paid_at": self.paid_at(), "transfers": self.transfers(), "authorized_users": self.authorized_users(), "similar": self.similar(), "monthly": self.monthly()}
+        return snapshot(tables | {"fraud_confirmations": self.confirmations()}, day)
 
     def scored_rows(self) -> DataFrame:
         d = self.read("documents").select("doc_id", "lang", "source", "n_chars")
         return d.join(self.read("labels"), "doc_id").select("doc_id", "lang", "source", "n_chars", "quality", F.col("toxic").alias("y"), (F.col("n_chars") % 500).cast("double").alias("score"), (F.col("n_chars") % 37).cast("double").alias("score2"))
+
+    def labels(self) -> DataFrame:
+        """person_id and the truth's columns; a ring is what one part and supplier have in common."""
+        p = self.persons()
+        k, bad = F.col("person_id"), F.col("person_id") % 11 == 0
+        ring = (k % 77 / 11).cast("long")
+        columns = {
+            "identity_id": k, "is_synthetic": bad.cast("int"), "ring_id": F.when(bad, ring).otherwise(-1), "household_id": F.when(bad, -1).otherwise(F.floor(k / 3)), "sophistication": F.when(bad, (ring % 3 + 1).cast("int")).otherwise(0),
+            "scenario": F.when(bad, F.element_at(F.array(F.lit("overt"), F.lit("partial"), F.lit("complicit_merchant")), (ring % 3 + 1).cast("int"))).otherwise(""), "bust_out_day": F.when(bad, (1300 + 200 * (ring % 5)).cast("int")).otherwise(1_000_000),
+            "label_observed": bad & (k % 5 != 0), "exposure": F.abs("income"), "is_colocation": k % 7 == 0, "is_dorm": k % 13 == 0, "is_elderly_assisted": k % 17 == 0, "is_distressed": k % 19 == 0, "is_newcomer": k % 23 == 0, "is_tradeline_seller": k % 29 == 0, "is_mule": k % 31 == 0,
+        }
+        out = p.select("person_id", *[c.alias(n) for n, c in columns.items()])
+        return out.withColumn("label_day", F.when(F.col("label_observed"), F.col("bust_out_day") + 100).otherwise(1_000_000)).withColumn("group", F.when(F.col("is_synthetic") == 1, F.concat(F.lit("r"), "ring_id")).otherwise(F.concat(F.lit("h"), "household_id")))
+
+    def pii(self, kinds: tuple[str, ...] = ("nid", "phone", "email", "device")) -> DataFrame:
+        """person_id, bank, attr_type, value, idkey, first_day, onboard_day: what banks hold in the clear."""
+        return self.person_attr(*kinds).withColumnRenamed("token", "value").join(self.persons().select("person_id", "bank", F.col("id_token").alias("idkey"), "onboard_day"), "person_id")

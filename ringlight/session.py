@@ -1,17 +1,21 @@
-"""Session helpers: the checkpoint folder that all executors share."""
+"""Session helpers: the checkpoint folder that all executors share, and tables stored in it once a session."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder set by ``spark.checkpoint.dir``; one of our own where nothing is set, as in tests."""
+    """The folder set by ``spark.checkpoint.dir``. In local mode, as in tests, one of our own where nothing is set; on a
+    cluster that raises, as executors share no local folder."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not configured and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(configured or f"/tmp/checkpoints/{uuid.uuid4().hex}")
     return sc.getCheckpointDir()
 
@@ -22,6 +26,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table ``key``, written as Parquet below the shared folder when first asked for in this application, and read
+    from there ever after: filters and columns are pushed down to it."""
+    sc = spark.sparkContext
+    if not hasattr(sc, "_ringlight_stored"):
+        sc._ringlight_stored = {}
+    if key not in sc._ringlight_stored:
+        path = f"{checkpoint_root(spark)}/tables-{uuid.uuid4().hex}"
+        build().write.parquet(path)
+        sc._ringlight_stored[key] = path
+    return spark.read.parquet(sc._ringlight_stored[key])
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give the workers this package, for sessions that were started without it on their path."""
     import io
@@ -39,6 +56,6 @@ def ship_package(spark: SparkSession) -> None:
     with zipfile.ZipFile(data, "w") as z:
         for p in sorted(package.rglob("*.py")):
             z.write(p, str(p.relative_to(package.parent)))
-    path = os.path.join(tempfile.mkdtemp(), "ringlight.zip")
+    path = os.path.join(tempfile.mkdtemp(), "ringlight.zip")  # read by the driver alone, which serves it
     Path(path).write_bytes(data.getvalue())
     sc.addPyFile(path)

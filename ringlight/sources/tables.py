@@ -7,9 +7,10 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-#: The tables that features may read; labels are not among them.
-BANK_TABLES = ("persons", "person_attr", "attr_meta", "paid_at", "merchant_meta", "transfers", "authorized_users", "monthly", "similar", "fraud_confirmations")
+#: The tables that features may read; labels are not among them.
+BANK_TABLES = ("persons", "person_attr", "attr_meta", "paid_at", "merchant_meta", "transfers", "authorized_users", "similar", "monthly", "fraud_confirmations")
 
 
 def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
@@ -17,8 +18,14 @@ def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
         df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
 
 
-def read_tables(spark: SparkSession, folder: str, names: tuple[str, ...]) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names}
+def read_tables(spark: SparkSession, folder: str, names: tuple[str, ...] | None = None, schemas: dict[str, StructType] | None = None) -> dict[str, DataFrame]:
+    """The named tables of a folder, or every ``*.parquet`` in it; with a schema where one is given, else the files' own."""
+    if names is None:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/*.parquet")
+        found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+        names = tuple(sorted(f.getPath().getName().removesuffix(".parquet") for f in found or ()))
+    read = lambda n: spark.read.schema(schemas[n]) if schemas and n in schemas else spark.read
+    return {n: read(n).parquet(f"{folder}/{n}.parquet") for n in names}
 
 
 def read_bank(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
@@ -42,6 +49,16 @@ def stacked_features(spark: SparkSession, folder: str, days: list[int], cross_ba
     return out
 
 
+def write_projection(edges: DataFrame, day: int, folder: str) -> None:
+    """The person-person graph of one day, beside those of other days."""
+    edges.write.mode("overwrite").parquet(f"{folder}/projection/T={day}")
+
+
+def read_projection(spark: SparkSession, folder: str, days: list[int]) -> DataFrame:
+    """T, src, dst, w of the given days; other days are pruned."""
+    return spark.read.option("basePath", f"{folder}/projection").parquet(f"{folder}/projection").where(F.col("T").isin(days))
+
+
 def write_metrics(metrics: dict, path: str) -> None:
     Path(path).write_text(json.dumps(metrics, indent=1, sort_keys=True, default=float))
 

@@ -30,3 +30,32 @@ def test_files_and_graph(spark, tmp_path):
     assert every.where("label = 'Person' and id = '2'").first().properties == "{}"
     scored = property_graph.with_scores(persons, members, members.where("community = 7"))
     assert {r.person_id: (r.risk_score, r.community_alert) for r in scored.collect()} == {1: (0.9, True), 2: (0.5, True), 3: (None, False)}
+
+
+def test_members_and_summaries(spark):
+    members = spark.createDataFrame([(7, "A-1", 0.9, '[{"feature":"g_share_phone","contribution":1.0},{"feature":"zzz","contribution":0.5}]'), (7, "B-2", 0.5, None), (8, "A-3", None, "[]")], "community long, person_id string, score double, explanation string")
+    persons = spark.createDataFrame([("A-1", 10), ("B-2", 20)], "person_id string, onboard_day int")
+    got = {r.person_id: (r.tenure, r.reasons) for r in casefiles.case_members(members, persons, 100).collect()}
+    assert got == {"A-1": (90, "téléphone partagé, zzz"), "B-2": (80, ""), "A-3": (None, "")}
+    attrs = spark.createDataFrame([("A-1", "phone", "t1"), ("B-2", "phone", "t1")], "person_id string, attr_type string, token string")
+    moved = spark.createDataFrame([("A-1", "B-2", 4, 10.0), ("A-1", "B-2", 5, 1.5), ("A-3", "B-2", 5, 9.0)], "src string, dst string, month int, amount double")
+    hosts = spark.createDataFrame([("B-2", "A-1")], "person_id string, host_person_id string")
+    rows = {r.community: tuple(r)[1:] for r in casefiles.case_summaries(members, attrs, moved, hosts).collect()}
+    assert rows == {7: (2, "A, B", 0.9, 1, 2, 11.5, 1), 8: (1, "A", None, 0, 0, 0.0, 0)}
+    scored = members.withColumn("community_score", F.col("community").cast("double"))
+    assert {r.community: r.case_number for r in casefiles.ranked(scored, 1).collect()} == {8: 1}
+
+
+def test_tables_by_day(spark, tmp_path):
+    from ringlight.sources import config, tables
+
+    edges = spark.createDataFrame([(1, 2, 0.5)], "src long, dst long, w double")
+    for day in (180, 300):
+        tables.write_projection(edges, day, str(tmp_path))
+    assert [tuple(r) for r in tables.read_projection(spark, str(tmp_path), [300]).select("T", "src", "w").collect()] == [(300, 1, 0.5)]
+    tables.write_tables({"a": edges, "b": edges}, str(tmp_path / "t"))
+    assert set(tables.read_tables(spark, str(tmp_path / "t"))) == {"a", "b"} and tables.read_tables(spark, str(tmp_path / "t"), ("a",), {"a": "src long"})["a"].columns == ["src"]
+    path = tmp_path / "c.yaml"
+    path.write_text("seed: 7\nevaluation: {test_snapshots: [900]}\n")
+    c = config.load_config(path)
+    assert c["seed"] == 7 and config.snapshot_days(c) == [180, 300, 420, 540, 900] and config.DEFAULTS["seed"] == 42

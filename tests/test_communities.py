@@ -26,5 +26,5 @@ def test_blinded_tokens(spark):
 
 def test_encrypted_score(spark):
     rows = spark.range(20).select("id", (F.col("id") / 7 - 1).alias("a"), F.when(F.col("id") > 3, -F.col("id") * 0.5).alias("b"))
-    got = blinding.encrypted_score(rows, "id", {"a": 1.25, "b": -0.3}, 0.5).collect()
+    got = blinding.encrypted_score(rows, "id", {"a": 1.25, "b": -0.3}, 0.5, 512).collect()
     assert all(r.logit == pytest.approx(0.5 + 1.25 * (r.id / 7 - 1) + (0.15 * r.id if r.id > 3 else 0), abs=1e-9) for r in got) and len(got) == 20

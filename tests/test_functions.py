@@ -1,13 +1,17 @@
 import hashlib
 import hmac
+import random
+import unicodedata
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from ringlight.functions import hashing, normalize, similarity
-from ringlight.operators import alerts, crossbank, evaluation
+from ringlight.operators import alerts, blinding, crossbank, evaluation, features
 from ringlight.operators.components import connected_components
 from ringlight.operators.graph import pagerank
+from ringlight.operators.running import running_totals
 from ringlight.operators.snapshot import snapshot
 from ringlight.plans import queries
 
@@ -61,21 +65,19 @@ def test_pagerank_keeps_mass(spark):
     assert abs(sum(got.values()) - 5) < 1e-9 and got[2] > got[3] > got[1] > got[4] == got[5]
 
 
-def test_settled_pagerank_is_fifty_rounds(spark, smallest):
-    t = queries.Tables(spark, smallest)
-    ids = [r[0] for r in t.persons().where(F.col("onboard_day") <= queries.DAY).select("person_id").collect()]
-    at, n = {p: i for i, p in enumerate(ids)}, len(ids)
-    w = np.zeros((n, n))
-    for src, dst, x in queries._lot_edges(t).select("src", "dst", "w").collect():
-        w[at[src], at[dst]] += x
+def test_pagerank_by_numpy(spark):
+    rng = np.random.default_rng(5)
+    w = np.triu(rng.random((12, 12)) * (rng.random((12, 12)) < 0.3), 1)
+    w = w + w.T
+    w[3], w[:, 3] = 0, 0
+    edges = spark.createDataFrame([(int(i), int(j), float(w[i, j])) for i, j in zip(*w.nonzero())], "src long, dst long, w double")
     out = w.sum(1)
     share = np.divide(w, out[:, None], out=np.zeros_like(w), where=out[:, None] > 0)
-    r = [np.full(n, 1 / n)]
-    for _ in range(50):
-        r.append(0.15 / n + 0.85 * (share.T @ r[-1] + r[-1][out == 0].sum() / n))
-    got = dict(map(tuple, queries.QUERIES["pagerank_settled"](spark, smallest).collect()))
-    mine = np.array([got[p] for p in ids])
-    assert len(got) == n and abs(mine - r[50] * n).max() < 2e-6 < abs(mine - r[5] * n).max()
+    r = np.full(12, 1 / 12)
+    for _ in range(7):
+        r = 0.15 / 12 + 0.85 * (share.T @ r + r[out == 0].sum() / 12)
+    got = dict(map(tuple, pagerank(edges, spark.range(12).withColumnRenamed("id", "person_id"), rounds=7).collect()))
+    assert max(abs(got[i] - r[i] * 12) for i in range(12)) < 1e-9
 
 
 def test_metrics(spark):
@@ -90,15 +92,106 @@ def test_metrics(spark):
     assert (m["alerts"], m["precision"], m["recall"]) == (4, 0.5, 1.0)
 
 
-def test_greedy_skips_what_does_not_fit(spark):
-    scored = spark.createDataFrame([("a", 5, 0.9), ("b", 6, 0.8), ("c", 4, 0.7), ("d", 1, 0.6)], "c string, size long, top3 double")
-    assert sorted(r.c for r in alerts.greedy_communities(scored, "c", 10).collect()) == ["a", "c", "d"]
+def test_greedy_takes_what_fits(spark):
+    r = random.Random(4)
+    for n, budget in ((0, 5.0), (30, 0.5), (30, 20.0), (60, 33.0), (20, 1000.0)):
+        made = [(f"c{i:02d}", float(r.choice([0.25, 0.5, 1.0, 2.5, 7.0])), round(r.random(), 1)) for i in range(n)]
+        want, left = [], budget
+        for c, w, _ in sorted(made, key=lambda x: (-x[2], x[0])):
+            if w <= left:
+                want.append(c)
+                left -= w
+        scored = spark.createDataFrame(made, "c string, weight double, top3 double")
+        assert sorted(x.c for x in alerts.greedy_communities(scored, "c", budget).collect()) == sorted(want)
+
+
+def test_running_totals(spark):
+    r = random.Random(3)
+    rows = [(r.choice(["a", "b", None]), i, r.randrange(5)) for i in range(300)]
+    got = running_totals(spark.createDataFrame(rows, "g string, i long, v long"), ["g"], [F.col("i").desc()], {"t": F.col("v"), "n": F.lit(1)})
+    for g, i, _, t, n in got.select("g", "i", "v", "t", "n").collect():
+        mine = [v for h, j, v in rows if h == g and j >= i]
+        assert (t, n) == (sum(mine), len(mine))
+
+
+def test_accents_are_those_of_unicode(spark):
+    r = random.Random(8)
+    texts = ["Čapek Šimon Őry ﬁn", "½ ㎏ 𝐀b ŒøßÉ", None, ""] + ["".join(r.choice("aZ 9é") if r.random() < 0.3 else chr(r.choice([r.randrange(0x80, 0x3000), r.randrange(0x1D400, 0x1D7FF), r.randrange(0xFB00, 0xFB07)])) for _ in range(20)) for _ in range(200)]
+    got = [x[0] for x in spark.createDataFrame([(t,) for t in texts], "v string").select(normalize.strip_accents(F.col("v"))).collect()]
+    assert got == [None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode() for t in texts]
+
+
+def test_folds(spark):
+    rows = [(f"{k}{i % 25}", int(k == "r"), "x" if (i % 25) % 7 == 0 else "y", 100 * (i % 25) + i) for k in "rh" for i in range(100)]
+    got = {tuple(r) for r in evaluation.assign_folds(spark.createDataFrame(rows, "group string, is_synthetic int, scenario string, bust_out_day int"), 7, ["x"], 1500, 0.5, 0.25).select("group", "fold").collect()}
+    assert len(got) == 50  # one fold a group
+    for group, fold in got:
+        u = int.from_bytes(hashlib.sha256(f"7|{group}".encode()).digest()[:8], "big") / 2**64
+        k = int(group[1:])
+        if group[0] == "r":
+            want = "test" if k % 7 == 0 or 101 * k > 1500 else "val" if u < 0.25 else "train"
+        else:
+            want = "test" if u < 0.5 else "val" if (u - 0.5) / 0.5 < 0.25 else "train"
+        assert fold == want
+
+
+def test_hubs_change_nothing(spark):
+    edges = spark.createDataFrame([(0, i) for i in range(1, 40)] + [(50, 51), (51, 52), (40, 39)], "src long, dst long")
+    plain, split = (dict(map(tuple, connected_components(edges, hub_edges=h).collect())) for h in (1000, 3))
+    assert plain == split and plain[40] == 0 and plain[52] == 50
+
+
+def test_no_feature_uses_the_future(spark, smallest):
+    t = queries.Tables(spark, smallest)
+    tables = {"persons": t.persons(), "person_attr": t.person_attr("nid", "phone"), "paid_at": t.paid_at(), "transfers": t.transfers(), "authorized_users": t.authorized_users(), "similar": t.similar(), "monthly": t.monthly(), "fraud_confirmations": t.confirmations()}
+    day = 800
+    past = dict(tables)
+    for name, when in (("person_attr", "first_day"), ("paid_at", "first_day"), ("authorized_users", "first_day"), ("similar", "first_day"), ("persons", "onboard_day"), ("fraud_confirmations", "confirmed_day")):
+        past[name] = tables[name].where(F.col(when) <= day)
+    for name in ("transfers", "monthly"):
+        past[name] = tables[name].where((F.col("month") + 1) * 30 <= day)
+    made = []
+    for x in (tables, past):
+        s = snapshot(x, day)
+        f = features.application(s["persons"], day).join(features.behaviour(s["monthly"], day), "person_id", "left").join(features.graph_counts(s, features.snapshot_projection(s)), "person_id")
+        made.append(f.orderBy("person_id").toPandas())
+    assert len(made[0]) > 50
+    assert ((made[0] - made[1]).abs().fillna(0) < 1e-9).all().all() and (made[0].isna() == made[1].isna()).all().all()
 
 
 def test_encrypted_equals_clear(spark):
     rows = [(b, f"t{t}", 100 * b + p) for b in range(3) for t in range(25) for p in range(1 + (t * b) % 4) if (t + b) % 5]
     h = spark.createDataFrame(rows, "bank int, token string, person_id long")
-    assert sorted(map(tuple, crossbank.reuse(h).collect())) == sorted(map(tuple, crossbank.encrypted_reuse(h).collect()))
+    assert sorted(map(tuple, crossbank.reuse(h).collect())) == sorted(map(tuple, crossbank.encrypted_reuse(h, 256).collect()))
+
+
+def test_round_hides_and_counts(spark):
+    per = spark.createDataFrame([(b, f"t{t}", 1 + (t * b) % 5) for b in range(3) for t in range(40) if (t + b) % 3 or t % 4 == 0], "bank int, token string, n long").cache()
+    requests = crossbank.round_requests(per, 0.5).cache()
+    totals = crossbank.encrypted_totals(requests, 256)
+    assert requests.groupBy("asker", "bank", "slot").count().where("count > 1").count() == 0
+    # A decoy's slot is nobody else's, a real token's slot is the same at all banks.
+    assert requests.where("not real").groupBy("asker", "slot").count().where("count > 1").count() == 0
+    assert requests.where("real").groupBy("asker", "token").agg(F.count_distinct("slot").alias("n")).where("n > 1").count() == 0
+    st = crossbank.round_statistics(requests, totals, per, 256).first()
+    assert st.max_abs_error == 0 and st.decoy_slots > 0 and st.slots_per_ciphertext == 15 and st.security_bits is None
+    with pytest.raises(Exception, match="does not fit"):
+        crossbank.encrypted_totals(requests.withColumn("n", F.lit(1 << 16)), 256).collect()
+
+
+def test_paillier():
+    key = crossbank.Paillier(1024, 5)
+    assert key.n.bit_length() in (1023, 1024) and key.decrypt(key.encrypt(5, 99) * key.encrypt(7, 101) % key.square) == 12
+    assert not crossbank.Paillier.passes(561 * 1105, random.Random(1))
+
+
+def test_leakage(spark):
+    values = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "v string")
+    r = blinding.leakage_report(values, "v", 12345, 999).first()
+    assert (r.hub_strings_not_tokens, r.raw_values_at_hub, r.unblinded_points_at_service, r.naive_recovered, r.blinded_recovered) == (0, 0, 0, 1.0, 0.0)
+    assert blinding.leakage_report(values, "v", 12345, 12345).first().blinded_recovered == 1.0
+    with pytest.raises(PermissionError):
+        blinding.blinded_tokens(values, "v", 12345, most=2)
 
 
 def test_snapshot_ignores_the_future(spark):

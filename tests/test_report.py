@@ -17,7 +17,7 @@ def rows(spark):
 def test_contributions_add_up_to_the_margin(rows):
     train = rows.where("person_id < 150")
     model, middle = models.fit_trees(train, ["a", "b"], "y", trees=5)
-    trees = attribution.tree_tables(model.stages[-1])
+    trees = attribution.tree_tables(model)
     roots = sum(t["weight"] * t["value"][0] for t in trees)
     out = models.explained_trees(train, rows, ["a", "b"], "y", k=1, trees=5).collect()
     assert len(out) == 200 and len(trees) == 5
@@ -46,3 +46,13 @@ def test_go_no_go():
     got = report.go_no_go({"a": 0.9, "b": 0.8, "c": None}, [("better", "a", ">", "b"), ("enough", "b", ">=", 0.85), ("known", "c", "<=", 1), ("bound", "a", "<", "none")])
     assert [r["passed"] for r in got] == [True, False, False, False]
     assert report.go_no_go_markdown(got).endswith("1 of 4 criteria met") and "| better | 0.9 | > 0.8 | go |" in report.go_no_go_markdown(got)
+
+
+def test_ten_criteria():
+    limits = {"min_pr_auc_gain_vs_best_baseline": 0.0, "min_ring_recall_before_bust_out": 0.5, "min_lead_time_days": 30, "max_encrypted_score_abs_error": 1e-6}
+    one = {"pr_auc": 0.8, "recall_at_3": 0.2, "ring_recall": 0.6, "median_lead_days": 40, "confounder_mean": 0.1, "recall_by_scenario": {"x": 0.4}}
+    models_ = {"rules": one | {"pr_auc": 0.5}, "trees_tab": one, "trees_graph": one | {"pr_auc": 0.85, "recall_at_3": 0.3}, "trees_xb": one | {"pr_auc": 0.86}, "network_graph": one | {"pr_auc": 0.9}}
+    privacy = {"raw_values_at_hub": 0, "unblinded_points_at_service": 0, "security_bits": 128, "max_abs_error_logit": 1e-9, "total_ms_per_request": 300}
+    got = report.go_no_go(*report.criteria(models_, privacy, limits, ["x"]))
+    assert len(got) == 11 and all(r["passed"] for r in got)
+    assert len(report.criteria({k: v for k, v in models_.items() if "network" not in k}, {}, limits, ["y"])[1]) == 5
