@@ -12,8 +12,10 @@ between strings that hold the position: two strings are equal if and only if the
 and one on the right. Equality is of bytes; hashes only choose positions and buckets.
 
 Null and empty texts have no bytes; texts under ``LENGTH`` bytes keep all. A string that is not UTF-8 at its
-ends is judged as bytes like any other. Rows with a null id count as one document before all others. Rows that
-repeat an id stand at the same place: neither is earlier than the other."""
+ends is judged as bytes like any other. Rows that repeat an id stand at the same place, rows with a null id all
+at one place before all others: of rows at one place none is earlier than another, whatever their texts. Each
+is judged by itself, as a document; rows with one id and one text get one and the same result. Other columns are
+not read, whatever their names; an empty table gives an empty one."""
 
 from __future__ import annotations
 
@@ -79,10 +81,11 @@ def cover(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
 
 
 def blocks_of(batches, gone: HashRanges | None):
-    """(doc ids, start and end of each text, all bytes) of blocks, without texts too short and later copies."""
+    """(doc ids, row keys, start and end of each text, all bytes) of blocks, without texts too short and later copies."""
     for batch in batches:
         for block, texts in text_blocks(batch, "text", True, TEXT_BYTES):
             ids = pc.fill_null(block.column(0), NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
+            own = block.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             keep = np.array([len(t) >= LENGTH for t in texts])
             if gone is not None and keep.any():
                 keys = mixed(ids.view(np.uint64))
@@ -92,7 +95,7 @@ def blocks_of(batches, gone: HashRanges | None):
             if len(which):
                 texts = [texts[i] for i in which]
                 ends = np.cumsum([len(t) for t in texts])
-                yield ids[which], np.concatenate([[0], ends[:-1]]), ends, np.frombuffer(b"".join(texts), np.uint8)
+                yield ids[which], own[which], np.concatenate([[0], ends[:-1]]), ends, np.frombuffer(b"".join(texts), np.uint8)
 
 
 def store_keys(df: DataFrame, folder: str, bits: int, least_count: int) -> None:
@@ -124,13 +127,27 @@ def key_rows(keys: np.ndarray, bits: int):
 
 
 def later_copies(ids: DataFrame) -> DataFrame:
-    """doc_id of every document whose bytes are those of a document with a smaller id; both have ``LENGTH`` bytes or more."""
+    """doc_id and own of documents of ``LENGTH`` bytes or more whose bytes are those of a document with a smaller id. An id of
+    several rows counts if that holds of all of them; else its rows go the long way."""
     first = ids.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    return ids.join(first, "digest").where("doc_id > first").select("doc_id")
+    copied = ids.join(first, "digest").where("doc_id > first").groupBy("doc_id").agg(F.count("*").alias("copied"))
+    rows = ids.join(copied, "doc_id").groupBy("doc_id", "own", "copied").agg(F.count("*").alias("n"))
+    whole = rows.groupBy("doc_id", "copied").agg(F.sum("n").alias("n")).where("n = copied").select("doc_id")
+    return rows.join(whole, "doc_id", "left_semi").select("doc_id", "own")
 
 
-def sort_bucket(gram: np.ndarray, context: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows in order of (doc, at): those with a string that an earlier row has too, and the least and greatest
+def not_first(doc: np.ndarray, own: np.ndarray, at: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows in order of (class, doc, own, at), ``new`` marking where a class begins: whether an earlier one is in the
+    class (of a smaller document, or before in the same row), and whether the row is the first of its document row there."""
+    n = np.arange(len(doc))
+    first = np.maximum.accumulate(np.where(new, n, 0))
+    begins = new | np.concatenate([[True], (doc[1:] != doc[:-1]) | (own[1:] != own[:-1])])
+    mine = np.maximum.accumulate(np.where(begins, n, 0))
+    return (doc[first] != doc) | (at[mine] != at), begins
+
+
+def sort_bucket(gram: np.ndarray, context: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray, own: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows in order of (doc, own, at): those with a string that an earlier row has too, and the least and greatest
     distance from the start of such strings to the cover position."""
     n = len(gram)
     classes = []
@@ -155,31 +172,29 @@ def sort_bucket(gram: np.ndarray, context: np.ndarray, left: np.ndarray, right:
         key = np.cumsum(l_common < a)[l_place[rows]] * np.int64(n + 1) + np.cumsum(r_common < LENGTH - a)[r_place[rows]]
         order = np.argsort(key, kind="stable")
         new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
-        first = rows[order][np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))]
         mine = rows[order]
-        again = mine[(first != mine) & ((doc[first] != doc[mine]) | (at[first] != at[mine]))]
+        again = mine[not_first(doc[mine], own[mine], at[mine], new)[0]]
         low[again] = np.minimum(low[again], a)
         high[again] = np.maximum(high[again], a)
     hit = np.flatnonzero(high >= 0)
     return hit, low[hit], high[hit]
 
 
-def collapsed(gram, rows, doc, at):
-    """Rows in order of (doc, at); of rows with one context only the first stays. Returns what stays, and the
-    index of those that start later than one with their context."""
-    order = np.lexsort((at, doc))
-    gram, rows, doc, at = gram[order], rows[order], doc[order], at[order]
+def collapsed(gram, rows, doc, own, at):
+    """Rows in order of (doc, own, at). Of rows with one context those of the first document stay, one for each of its rows.
+    Returns also the index of what stays, and of those that start later than one with their context."""
+    order = np.lexsort((at, own, doc))
+    gram, rows, doc, own, at = gram[order], rows[order], doc[order], own[order], at[order]
     by = np.argsort(rows.view(f"S{rows.shape[1]}").ravel(), kind="stable")
-    same = np.concatenate([[False], (rows[by][1:] == rows[by][:-1]).all(axis=1)])
-    first = by[np.maximum.accumulate(np.where(same, 0, np.arange(len(by))))]
-    later = by[same & ((doc[first] != doc[by]) | (at[first] != at[by]))]
-    keep = np.ones(len(doc), bool)
-    keep[by[same]] = False
-    return gram, rows, doc, at, np.flatnonzero(keep), later
+    new = np.concatenate([[True], (rows[by][1:] != rows[by][:-1]).any(axis=1)])
+    later, begins = not_first(doc[by], own[by], at[by], new)
+    keep = np.zeros(len(doc), bool)
+    keep[by[begins & ~later]] = True
+    return gram, rows, doc, own, at, np.flatnonzero(keep), by[later]
 
 
 def intervals(df: DataFrame, bits: int, repeated: str, gone: str) -> DataFrame:
-    """doc_id, start, end of covered bytes; a document's intervals may overlap."""
+    """doc_id, own, start, end of covered bytes; a row's intervals may overlap."""
     width = CONTEXT + 3
 
     def contexts(batches):
@@ -187,23 +202,23 @@ def intervals(df: DataFrame, bits: int, repeated: str, gone: str) -> DataFrame:
         held, count = [], 0
 
         def flush():
-            gram, rows, doc, at, keep, later = collapsed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            gram, rows, doc, key, at, keep, later = collapsed(*(np.concatenate(x) for x in zip(*held, strict=True)))
             whole = later[rows[later, 0].astype(int) + rows[later, 1] >= LENGTH]
             order = keep[np.argsort(gram[keep], kind="stable")]
             cuts = bucket_slices(gram[order], bits)
             empty = b""
-            out = [[] for _ in range(8)]
+            out = [[] for _ in range(10)]
             for b in np.flatnonzero(np.diff(cuts)):
                 r = order[cuts[b] : cuts[b + 1]]
-                for c, v in zip(out, (b, gram[r].tobytes(), rows[r].tobytes(), doc[r].tobytes(), at[r].tobytes(), empty, empty, empty), strict=True):
+                for c, v in zip(out, (b, gram[r].tobytes(), rows[r].tobytes(), doc[r].tobytes(), key[r].tobytes(), at[r].tobytes(), empty, empty, empty, empty), strict=True):
                     c.append(v)
             if len(whole):
-                for c, v in zip(out, (int(doc[whole[0]]) % (1 << bits), empty, empty, empty, empty, doc[whole].tobytes(), (at[whole] - rows[whole, 0]).tobytes(), (at[whole] + rows[whole, 1]).tobytes()), strict=True):
+                for c, v in zip(out, (int(doc[whole[0]]) % (1 << bits), empty, empty, empty, empty, empty, doc[whole].tobytes(), key[whole].tobytes(), (at[whole] - rows[whole, 0]).tobytes(), (at[whole] + rows[whole, 1]).tobytes()), strict=True):
                     c.append(v)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32())] + [pa.array(c, pa.binary()) for c in out[1:]], names=["bucket", "gram", "context", "doc", "at", "m_doc", "m_start", "m_end"])
+            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32())] + [pa.array(c, pa.binary()) for c in out[1:]], names=["bucket", "gram", "context", "doc", "key", "at", "m_doc", "m_key", "m_start", "m_end"])
 
-        for ids, starts, ends, data in blocks_of(batches, copies):
+        for ids, keys, starts, ends, data in blocks_of(batches, copies):
             at, gram = cover(data, starts, ends)
             gram = mixed(gram)
             order = np.argsort(gram)
@@ -222,7 +237,7 @@ def intervals(df: DataFrame, bits: int, repeated: str, gone: str) -> DataFrame:
                 column = np.arange(CONTEXT)
                 inside = (column >= LEFT - rows[:, :1].astype(int)) & (column < LEFT + rows[:, 1:2].astype(int))
                 rows[:, 2:-1], rows[:, -1] = np.where(inside, body, 0), 1
-                held.append((g, rows, ids[o], p - starts[o]))
+                held.append((g, rows, ids[o], keys[o], p - starts[o]))
                 count += len(p)
                 if count >= FLUSH_CONTEXTS:
                     yield flush()
@@ -234,23 +249,23 @@ def intervals(df: DataFrame, bits: int, repeated: str, gone: str) -> DataFrame:
         def joined(name, dtype):
             return np.frombuffer(b"".join(pdf[name]), dtype)
 
-        doc, start, end = joined("m_doc", np.int64), joined("m_start", np.int64), joined("m_end", np.int64)
+        doc, key, start, end = (joined(c, np.int64) for c in ("m_doc", "m_key", "m_start", "m_end"))
         gram, rows = joined("gram", np.uint64), joined("context", np.uint8).reshape(-1, width)
-        own, at = joined("doc", np.int64), joined("at", np.int64)
+        own, mine, at = (joined(c, np.int64) for c in ("doc", "key", "at"))
         if len(gram):
-            gram, rows, own, at, keep, later = collapsed(gram, rows, own, at)
+            gram, rows, own, mine, at, keep, later = collapsed(gram, rows, own, mine, at)
             whole = later[rows[later, 0].astype(int) + rows[later, 1] >= LENGTH]
-            more = [(own[whole], at[whole] - rows[whole, 0], at[whole] + rows[whole, 1])]
+            more = [(own[whole], mine[whole], at[whole] - rows[whole, 0], at[whole] + rows[whole, 1])]
             grams, inverse, n = np.unique(gram[keep], return_inverse=True, return_counts=True)
             keep = keep[n[inverse] > 1]
             if len(keep):
-                rows, o, p = rows[keep], own[keep], at[keep]
-                hit, low, high = sort_bucket(gram[keep], rows[:, 2:-1], rows[:, 0].astype(int), rows[:, 1].astype(int), o, p)
-                more.append((o[hit], p[hit] - high, p[hit] - low + LENGTH))
-            doc, start, end = (np.concatenate([x, *y]) for x, y in zip((doc, start, end), zip(*more, strict=True), strict=True))
-        return pd.DataFrame({"doc_id": doc, "start": start, "end": end})
+                rows, o, k, p = rows[keep], own[keep], mine[keep], at[keep]
+                hit, low, high = sort_bucket(gram[keep], rows[:, 2:-1], rows[:, 0].astype(int), rows[:, 1].astype(int), o, k, p)
+                more.append((o[hit], k[hit], p[hit] - high, p[hit] - low + LENGTH))
+            doc, key, start, end = (np.concatenate([x, *y]) for x, y in zip((doc, key, start, end), zip(*more, strict=True), strict=True))
+        return pd.DataFrame({"doc_id": doc, "own": key, "start": start, "end": end})
 
-    return df.mapInArrow(contexts, "bucket int, gram binary, context binary, doc binary, at binary, m_doc binary, m_start binary, m_end binary").groupBy("bucket").applyInPandas(meet, "doc_id long, start long, end long")
+    return df.mapInArrow(contexts, "bucket int, gram binary, context binary, doc binary, key binary, at binary, m_doc binary, m_key binary, m_start binary, m_end binary").groupBy("bucket").applyInPandas(meet, "doc_id long, own long, start long, end long")
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -264,14 +279,18 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[new, 0], reach[last]], axis=1)
 
 
+def row_key(text: str):
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def repeated_spans(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, and ``spans``: the intervals of covered bytes, flat (start, end, start, ...); none for later copies,
-    which have ``copied`` true. Documents without covered bytes are absent; a null id is ``NO_ID``."""
+    """doc_id, own (the text's hash, which tells rows of one id apart), and ``spans``: the intervals of covered bytes, flat
+    (start, end, start, ...); none for later copies, which have ``copied`` true. Rows without covered bytes are absent; a null id is ``NO_ID``."""
     spark = documents.sparkSession
-    docs = documents.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text).alias("text"))
+    docs = documents.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), row_key(text).alias("own"), F.col(text).alias("text"))
     bits = bucket_bits(docs.rdd.getNumPartitions())
-    ids = checkpointed(docs.where(F.octet_length("text") >= LENGTH).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest")))
-    copies = checkpointed(later_copies(ids).distinct())
+    ids = checkpointed(docs.where(F.octet_length("text") >= LENGTH).select("doc_id", "own", F.sha2(F.col("text").cast("binary"), 256).alias("digest")))
+    copies = checkpointed(later_copies(ids))
     gone, repeated = shared_folder(spark, "copies"), shared_folder(spark, "grams")
 
     def copy_keys(batches):
@@ -280,7 +299,7 @@ def repeated_spans(documents: DataFrame, text: str = "text", doc_id: str = "doc_
 
     def grams(batches):
         held, count = [], 0
-        for _, starts, ends, data in blocks_of(batches, HashRanges(gone, bits, {})):
+        for _, _, starts, ends, data in blocks_of(batches, HashRanges(gone, bits, {})):
             held.append(mixed(cover(data, starts, ends)[1]))
             count += len(held[-1])
             if count > FLUSH_KEYS:
@@ -290,10 +309,10 @@ def repeated_spans(documents: DataFrame, text: str = "text", doc_id: str = "doc_
             yield key_rows(np.concatenate(held), bits)
 
     shape = "bucket int, once binary, many binary"
-    store_keys(copies.mapInArrow(copy_keys, shape), gone, bits, 1)
+    store_keys(copies.select("doc_id").distinct().mapInArrow(copy_keys, shape), gone, bits, 1)
     store_keys(docs.mapInArrow(grams, shape), repeated, bits, 2)
-    found = intervals(docs, bits, repeated, gone).groupBy("doc_id").agg(F.flatten(F.collect_list(F.array("start", "end"))).alias("spans"))
-    return found.withColumn("copied", F.lit(False)).unionByName(copies.select("doc_id", F.array().cast("array<bigint>").alias("spans"), F.lit(True).alias("copied")))
+    found = intervals(docs, bits, repeated, gone).groupBy("doc_id", "own").agg(F.flatten(F.collect_list(F.array("start", "end"))).alias("spans"))
+    return found.withColumn("copied", F.lit(False)).unionByName(copies.select("doc_id", "own", F.array().cast("array<bigint>").alias("spans"), F.lit(True).alias("copied")))
 
 
 def deduplicated(documents: DataFrame, make, fields: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -301,8 +320,8 @@ def deduplicated(documents: DataFrame, make, fields: str, text: str = "text", do
     from pyspark.sql import types as T
 
     spans = repeated_spans(documents, text, doc_id)
-    rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("own"))
-    rows = rows.join(spans.withColumnRenamed("doc_id", "own"), "own", "left").select("doc_id", "text", "spans", "copied")
+    rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("__id"), row_key(text).alias("__own"))
+    rows = rows.join(spans.withColumnsRenamed({"doc_id": "__id", "own": "__own"}), ["__id", "__own"], "left").select("doc_id", "text", "spans", "copied")
     added = T._parse_datatype_string(fields)
     schema = T.StructType([rows.schema["doc_id"], *added])
     names = [f.name for f in added]
