@@ -9,7 +9,7 @@ takes about as many checks as it has members, and gives as many edges.
 
 The sets stand in files of the shared checkpoint folder, one for each task that made them, and are memory-mapped.
 A text of fewer words is one shingle; texts without a word (null, empty, white space) are copies of each other.
-Rows without an id all stay; of rows that repeat an id, one. Work grows with the square of the number of
+Rows without an id all stay. Of rows in one group the least id stays, of equals in it the least text hash. Work grows with the square of the number of
 distinct texts of like size: that is the method."""
 
 from __future__ import annotations
@@ -58,8 +58,12 @@ def wide_fingerprint(h: np.ndarray) -> bytes:
     return np.packbits(2 * ones > len(h)).tobytes()
 
 
+def _own(text: str):
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def sketches(df: DataFrame, text: str, doc_id: str, width: int, folder: str) -> DataFrame:
-    """doc_id, fp (64 bytes), n shingles, and where their sorted hashes stand: the task's file and the offset."""
+    """doc_id, own (the text's hash, which tells rows of one id apart), fp (64 bytes), n shingles, and where their sorted hashes stand: the task's file and the offset."""
 
     def make():
         from pyspark import TaskContext
@@ -84,7 +88,8 @@ def sketches(df: DataFrame, text: str, doc_id: str, width: int, folder: str) ->
 
         return block
 
-    return map_texts(df, make, "fp binary, n long, task long, at long", text, (doc_id,))
+    keyed = df.select(doc_id, text, _own(text).alias("own"))
+    return map_texts(keyed, make, "fp binary, n long, task long, at long", text, (doc_id, "own"))
 
 
 class Sets:
@@ -205,20 +210,32 @@ def similar_links(nodes: DataFrame, folder: str, similarity: float = SIMILARITY,
     return spread.groupBy("lo", "hi").applyInPandas(meet, "src long, dst long")
 
 
-def similar_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY, width: int = WORDS) -> DataFrame:
-    """node (the least doc_id of a set of equal fingerprints) and component_id (the least that links reach)."""
+def _grouped(df: DataFrame, text: str, doc_id: str, similarity: float, width: int) -> tuple[DataFrame, DataFrame]:
+    """The least row (id, own) of each set of equal fingerprints with its group, and the least row of each group."""
     folder = shared_folder(df.sparkSession, "near-copies")
     rows = checkpointed(sketches(df, text, doc_id, width, folder)).where(F.col(doc_id).isNotNull())
-    least = F.min(F.struct(F.col(doc_id).cast("long").alias("node"), "task", "at", "n"))
-    nodes = checkpointed(rows.groupBy("fp").agg(least.alias("x")).select("fp", "x.*"))
+    least = F.min(F.struct(F.col(doc_id).cast("long").alias("id"), "own", "task", "at", "n"))
+    nodes = checkpointed(rows.groupBy("fp").agg(least.alias("x")).select("fp", "x.*").withColumn("node", F.monotonically_increasing_id()))
     found = connected_components(similar_links(nodes, folder, similarity))
-    return nodes.select("node").distinct().join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component_id"))
+    named = checkpointed(nodes.select("node", "id", "own").join(found, "node", "left").select("id", "own", F.coalesce("component", "node").alias("group")))
+    return named, named.groupBy("group").agg(F.min(F.struct("id", "own")).alias("first"))
+
+
+def similar_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY, width: int = WORDS) -> DataFrame:
+    """node (the least doc_id of a set of equal fingerprints) and component_id (the least that links reach)."""
+    named, first = _grouped(df, text, doc_id, similarity, width)
+    return named.join(first, "group").select(F.col("id").alias("node"), F.col("first.id").alias("component_id"))
 
 
 def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY, width: int = WORDS) -> DataFrame:
-    """Rows, with all their columns, of the least doc_id of each group; rows without an id all stay."""
-    stay = similar_groups(df, text, doc_id, similarity, width).where("node = component_id").select(F.col("node").alias("__id"))
+    """Rows, with all their columns, of the least doc_id of each group; rows without an id all stay.
+
+    Rows that repeat an id are judged by their own texts: those of unlike texts stay, of one id and text (which are copies)
+    one row does, by the hash of all columns."""
+    _, first = _grouped(df, text, doc_id, similarity, width)
+    stay = first.select(F.col("first.id").alias("__id"), F.col("first.own").alias("__own"))
     columns = df.columns
-    named = df.where(F.col(doc_id).isNotNull()).join(stay, F.col(doc_id) == F.col("__id"), "left_semi")
-    first = F.row_number().over(Window.partitionBy(doc_id).orderBy(doc_id))
-    return named.withColumn("__first", first).where("__first = 1").select(*columns).unionByName(df.where(F.col(doc_id).isNull()))
+    named = df.where(F.col(doc_id).isNotNull()).withColumns({"__k": F.col(doc_id).cast("long"), "__o": _own(text)})
+    named = named.join(stay, (F.col("__k") == F.col("__id")) & (F.col("__o") == F.col("__own")), "left_semi")
+    at = F.row_number().over(Window.partitionBy("__k", "__o").orderBy(F.xxhash64(*[F.col(c) for c in columns])))
+    return named.withColumn("__first", at).where("__first = 1").select(*columns).unionByName(df.where(F.col(doc_id).isNull()))
