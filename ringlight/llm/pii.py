@@ -99,7 +99,7 @@ def features(word: str) -> list[str]:
     core = word.strip("\"'.,;:!?()[]{}<>*#$%&|")
     digits = sum(c.isdigit() for c in core)
     letters = sum(c.isalpha() for c in core)
-    out = [f"s={shape(core)[:12]}", f"d={sum(digits > x for x in RUNS)}", f"l={sum(letters > x for x in RUNS)}"]
+    out = [f"s={shape(core)}", f"d={sum(digits > x for x in RUNS)}", f"l={sum(letters > x for x in RUNS)}"]
     out += [f"c={c}" for c in "@.-+()=:_/" if c in word]
     if digits and letters and len(core) >= 16 and core.isalnum():
         out.append("mixed")
@@ -185,7 +185,8 @@ class Field:
         return np.array([self.emit[[i for x in fs if (i := get(x)) is not None]].sum(axis=0) for fs in window(words)])
 
     def decode(self, sequences: list[list[str]]) -> list[np.ndarray]:
-        """The best labels of each sequence; sequences of one length go step by step together."""
+        """The best labels of each sequence, of equals the first by ``LABELS``; sequences of one length go step by step
+        together."""
         out: list = [None] * len(sequences)
         by_length: dict[int, list[int]] = {}
         for i, s in enumerate(sequences):
