@@ -21,6 +21,8 @@ from .common import crc_remainder, map_rows, map_texts, read_table
 #: Lengths of the n-grams, buckets of their hashes, and what is added to each count.
 ORDERS, BUCKETS, SMOOTHING = (1, 2, 3), 1 << 14, 0.5
 UNKNOWN = "und"
+#: Languages of a model at most: its matrix then has 64 MB.
+MOST_LANGUAGES = 1000
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -101,9 +103,13 @@ class LanguageModel:
 
 
 def fit(df: DataFrame, text: str = "text", lang: str = "lang") -> LanguageModel:
-    rows = counts(df, text, lang).collect()  # at most languages x BUCKETS rows
-    priors = {r[0]: r[1] for r in df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).groupBy(F.col(lang).cast("string")).count().collect()}
-    return LanguageModel([tuple(r) for r in rows], {g: n for g, n in priors.items() if any(r[0] == g for r in rows)})
+    """The model of all labelled texts. Its matrix is broadcast: more than ``MOST_LANGUAGES`` languages raise ValueError."""
+    known = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).groupBy(F.col(lang).cast("string")).count().limit(MOST_LANGUAGES + 1).collect()
+    if len(known) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    priors = {r[0]: r[1] for r in known}
+    rows = counts(df, text, lang).collect()  # at most MOST_LANGUAGES x BUCKETS rows
+    return LanguageModel([tuple(r) for r in rows], {g: n for g, n in priors.items() if g in {r[0] for r in rows}})
 
 
 def predict(df: DataFrame, model: LanguageModel, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
