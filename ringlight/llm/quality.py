@@ -16,6 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from .common import map_texts, read_table
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_letters long"
@@ -134,10 +135,23 @@ def ablations(rows: DataFrame, version: str, failed: str = "failed") -> DataFram
     return one.select("rejected", F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(f"f{i}").alias("failed"), F.col(f"o{i}").alias("only")) for i, n in names])).alias("x")).select(F.lit(version).alias("policy"), "x.rule", "x.failed", "x.only", "rejected")
 
 
+def sole(version: str, failed: str = "failed") -> Column:
+    """The rule that alone rejects a document by a policy: without the rule it would be kept. Null if there is no such rule."""
+    own = F.col(failed).bitwiseAND(F.lit(mask(version)))
+    out = F.lit(None).cast("string")
+    for i, r in enumerate(RULES):
+        out = F.when(own == 1 << i, r.name).otherwise(out)
+    return out
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ledger(read_table(spark, sf_dir, "documents"))
+    """The contract's columns by the policies base-1 and strict-2; and of the ablation of strict-2: the rule that alone rejects a
+    document, and how many documents of the corpus the policy would keep without that rule (``n_sole``)."""
+    rows = checkpointed(ledger(read_table(spark, sf_dir, "documents")))  # no texts; every rule evaluated once
     base = mask("base-1")
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (F.col("failed").bitwiseAND(F.lit(base)) != 0).alias("base_failed"), kept("strict-2").alias("kept"), "failed")
+    only = F.broadcast(ablations(rows, "strict-2").select(F.col("rule").alias("sole_rule"), F.col("only").alias("n_sole")))  # a row a rule
+    out = rows.withColumn("sole_rule", sole("strict-2")).join(only, "sole_rule", "left")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (F.col("failed").bitwiseAND(F.lit(base)) != 0).alias("base_failed"), kept("strict-2").alias("kept"), "failed", "sole_rule", "n_sole")
 
 
 def _fails(rule: Rule) -> str:
@@ -145,6 +159,7 @@ def _fails(rule: Rule) -> str:
 
 
 _BITS = " + ".join(f"CASE WHEN {_fails(r)} THEN {1 << i} ELSE 0 END" for i, r in enumerate(RULES))
+_SOLE = " ".join(f"WHEN {1 << i} THEN '{r.name}'" for i, r in enumerate(RULES))
 SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM d),
@@ -160,5 +175,6 @@ m AS (SELECT doc_id, len(words) AS n_words, length(regexp_replace(t, '[\x20\x09-
       FROM d JOIN w USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN repeats USING (doc_id)),
 f AS (SELECT *, {_BITS} AS failed FROM m)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
-       CAST(n_repeat_words AS BIGINT) AS n_repeat_words, failed & {mask("base-1")} <> 0 AS base_failed, failed & {mask("strict-2")} = 0 AS kept, CAST(failed AS BIGINT) AS failed FROM f
+       CAST(n_repeat_words AS BIGINT) AS n_repeat_words, failed & {mask("base-1")} <> 0 AS base_failed, failed & {mask("strict-2")} = 0 AS kept, CAST(failed AS BIGINT) AS failed, sole_rule, CASE WHEN sole_rule IS NOT NULL THEN count(*) OVER (PARTITION BY sole_rule) END AS n_sole
+       FROM (SELECT *, CASE failed & {mask("strict-2")} {_SOLE} END AS sole_rule FROM f)
 """
