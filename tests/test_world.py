@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from ringlight.functions import normalize
 from ringlight.operators import crossbank, features
 from ringlight.operators.snapshot import snapshot
+from ringlight.session import checkpointed
 from ringlight.sources import bank_view, world as sim
-from ringlight.sources.tables import BANK_TABLES
+from ringlight.sources.tables import BANK_TABLES, read_bank, write_tables
 
 
 @pytest.fixture(scope="module")
@@ -41,8 +42,9 @@ def test_links(tables):
     assert tables["paid_at"].join(tables["merchants"], "merchant_id", "left_anti").count() == 0
 
 
-def test_bank_view(spark, tables):
-    bank, truth = bank_view.bank_view(tables, "k", 1, ["A", "B", "C"]), bank_view.labels(tables)
+def test_bank_view(spark, tables, tmp_path):
+    write_tables(bank_view.bank_view(tables, "k", 1, ["A", "B", "C"]), str(tmp_path))
+    bank, truth = read_bank(spark, str(tmp_path)), bank_view.labels(tables).cache()
     assert set(bank) == set(BANK_TABLES) and bank["persons"].count() == tables["records"].count() == truth.count()
     # No truth and nothing in the clear in what banks see; tokens of one value differ between banks.
     assert not {c for df in bank.values() for c in df.columns} & {"ring_id", "kind", "is_synthetic", "value", "domain", "fictitious", "household_id"}
@@ -51,10 +53,10 @@ def test_bank_view(spark, tables):
     assert bank["attr_meta"].groupBy("token").count().where("count > 1").count() == 0
     assert bank["similar"].where("a >= b or score < 85").count() == 0
     s = snapshot(bank, 720)
-    f = features.graph_counts(s, features.snapshot_projection(s))
+    f = features.graph_counts(s, checkpointed(features.snapshot_projection(s)))
     both = f.join(truth, "person_id").groupBy("is_synthetic").agg(F.avg("g_share_device").alias("d")).collect()
     assert {x.is_synthetic: x.d for x in both}[1] > {x.is_synthetic: x.d for x in both}[0]
-    pii, records = bank_view.pii_view(tables)
+    pii, records = map(checkpointed, bank_view.pii_view(tables))
     xb = crossbank.xb_features(crossbank.bank_keys(pii), records, crossbank.other_totals(crossbank.live_counts(crossbank.bank_keys(pii), records, 720).withColumnRenamed("key", "token")).withColumnRenamed("token", "key"), 720)
     assert xb.count() == records.where("onboard_day <= 720").count() and xb.where("xb_identity_other_banks > 0").count() > 0 and xb.where("xb_nid_mismatch < 0").count() == 0
 
