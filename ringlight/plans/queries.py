@@ -17,7 +17,7 @@ from .binding import DAY, FIRST_YEAR, Tables
 
 TOKEN_CAP, MERCHANT_CAP, HUB_CAP, TARGET, BUDGET = 30, 15, 20, 0.01, 0.02
 #: Key sizes of the registered demonstrations; the operators' own default is 3072.
-SCORE_BITS, COUNTER_BITS = 512, 512
+SCORE_BITS, COUNTER_BITS = 512, 256
 SECRET, SEED = "ring-demo-key", 42
 HOLDOUT, CUTOFF, TEST_SHARE, VAL_SHARE, MAX_TENURE = ["complicit_merchant"], 1500, 0.5, 0.25, 1200
 TRAIN_DAYS, TEST_DAYS = [1100, 1281], [DAY]
@@ -592,7 +592,7 @@ def trained_models(t):
     rows = evaluation.build_rows(f, _folded(t), [DAY], [], CUTOFF, 10**6)
     part = F.pmod(F.xxhash64("person_id"), F.lit(4))
     rows = checkpointed(rows.withColumn("split", F.when(part == 0, "val").when(part == 1, "test").otherwise("train")).withColumn("y", F.col("is_synthetic")))
-    out, _ = models.model_scores(rows, trees=40)
+    out, _ = models.model_scores(rows, trees=20)
     return out.select("person_id", "T", "y", *[c for c in out.columns if c.startswith("trees_") or c == "rules"])
 
 
