@@ -24,7 +24,7 @@ CTES = {
     "wattr": f"SELECT a.person_id, attr_type, token, CAST(b.person_id IS NOT NULL AS INTEGER) AS kn FROM pattr a LEFT JOIN known b USING (person_id) WHERE first_day <= {DAY}",
     "tok": "SELECT attr_type, token, count(*) - 1 AS others, sum(kn) AS total FROM wattr GROUP BY 1, 2",
     "live": f"SELECT *, person_id AS k, concat_ws(':', nation, segment, person_id % 3) AS id_token FROM persons WHERE onboard_day <= {DAY}",
-    "full_edges": f"SELECT src, dst, sum(w) AS w FROM (SELECT a.person_id AS src, b.person_id AS dst, sum(1 / ln(others + 1)) AS w FROM wattr a JOIN wattr b USING (attr_type, token) JOIN tok USING (attr_type, token) WHERE others BETWEEN 1 AND {TOKEN_CAP - 1} AND a.person_id <> b.person_id GROUP BY 1, 2 UNION ALL SELECT a.person_id, b.person_id, sum(1 / ln(deg)) FROM visits a JOIN visits b USING (token) JOIN (SELECT token, count(*) AS deg FROM visits GROUP BY 1 HAVING count(*) BETWEEN 2 AND {MERCHANT_CAP}) USING (token) WHERE a.person_id <> b.person_id GROUP BY 1, 2 UNION ALL SELECT unnest([{{'src': src, 'dst': dst}}, {{'src': dst, 'dst': src}}], recursive := true), 1e0 FROM (SELECT DISTINCT src, dst FROM transfers WHERE (month + 1) * 30 <= {DAY} UNION ALL SELECT person_id, host_person_id FROM au WHERE first_day <= {DAY} AND host_person_id IN (SELECT person_id FROM live) UNION ALL SELECT a, b FROM alike)) GROUP BY 1, 2",
+    "full_edges": f"SELECT src, dst, sum(w) AS w FROM (SELECT a.person_id AS src, b.person_id AS dst, sum(1 / ln(others + 1)) AS w FROM wattr a JOIN wattr b USING (attr_type, token) JOIN tok USING (attr_type, token) WHERE others BETWEEN 1 AND {TOKEN_CAP - 1} AND a.person_id <> b.person_id GROUP BY 1, 2 UNION ALL SELECT a.person_id, b.person_id, sum(1 / ln(deg)) FROM visits a JOIN visits b USING (token) JOIN (SELECT token, count(*) AS deg FROM visits GROUP BY 1 HAVING count(*) BETWEEN 2 AND {MERCHANT_CAP}) USING (token) WHERE a.person_id <> b.person_id GROUP BY 1, 2 UNION ALL SELECT unnest([{{'src': src, 'dst': dst}}, {{'src': dst, 'dst': src}}], recursive := true), 1e0 FROM (SELECT src, dst FROM moved UNION ALL SELECT person_id, host_person_id FROM au WHERE first_day <= {DAY} AND host_person_id IN (SELECT person_id FROM live) UNION ALL SELECT a, b FROM alike)) GROUP BY 1, 2",
     "alike": f"SELECT a.person_id AS a, b.person_id AS b FROM persons a JOIN persons b ON a.nation = b.nation AND a.segment = b.segment AND a.person_id % 60 = b.person_id % 60 AND a.person_id < b.person_id WHERE greatest(a.onboard_day, b.onboard_day) <= {DAY}",
     "truth": "SELECT person_id, person_id AS k, income, bad, CASE WHEN bad THEN ring ELSE -1 END AS ring_id, CASE WHEN bad THEN -1 ELSE person_id // 3 END AS household_id, CASE WHEN bad THEN ring % 3 + 1 ELSE 0 END AS sophistication, CASE WHEN NOT bad THEN '' WHEN ring % 3 = 0 THEN 'overt' WHEN ring % 3 = 1 THEN 'partial' ELSE 'complicit_merchant' END AS scenario, CASE WHEN bad THEN 1300 + 200 * (ring % 5) ELSE 1000000 END AS bust_out_day, bad AND person_id % 5 <> 0 AS observed, CASE WHEN bad THEN 'r' || ring ELSE 'h' || person_id // 3 END AS grp FROM (SELECT person_id, income, person_id % 11 = 0 AS bad, person_id % 77 // 11 AS ring FROM persons)",
     "hashed": f"SELECT *, CAST(CAST('0x' || substr(sha256('{SEED}|' || grp), 1, 16) AS UBIGINT) AS DOUBLE) / 18446744073709551616e0 AS u FROM truth",
@@ -54,7 +54,7 @@ CTES = {
     "mismatch": "SELECT person_id, max(m) AS g_nid_identity_mismatch FROM wattr JOIN (SELECT token, count(DISTINCT id_token) - 1 AS m FROM wattr JOIN live USING (person_id) WHERE attr_type = 'nid' GROUP BY 1) USING (token) WHERE attr_type = 'nid' GROUP BY 1",
     "g1": "SELECT src AS person_id, count(*) AS g_proj_degree, sum(w) AS g_proj_wdegree, count(known.person_id) AS g_known_fraud_1hop FROM full_edges LEFT JOIN known ON known.person_id = dst GROUP BY 1",
     "g2": "SELECT src AS person_id, sum(g_known_fraud_1hop) AS g_known_fraud_2hop_paths FROM full_edges JOIN g1 ON g1.person_id = dst GROUP BY 1",
-    "moved": f"SELECT DISTINCT src, dst FROM transfers WHERE (month + 1) * 30 <= {DAY}",
+    "moved": f"SELECT DISTINCT src, dst FROM transfers WHERE (month + 1) * 30 <= {DAY} AND src IN (SELECT person_id FROM live) AND dst IN (SELECT person_id FROM live)",
     "guests": f"SELECT person_id, host_person_id, count(*) OVER (PARTITION BY host_person_id) AS n FROM au WHERE first_day <= {DAY} AND host_person_id IN (SELECT person_id FROM live)",
     "met": f"SELECT a.person_id, count(DISTINCT b.person_id) AS g_small_merchant_covisitors FROM visits a JOIN visits b USING (token) WHERE a.person_id <> b.person_id AND token IN (SELECT token FROM visits GROUP BY 1 HAVING count(*) BETWEEN 2 AND {MERCHANT_CAP}) GROUP BY 1",
     "gf": "SELECT person_id, " + ", ".join(f"coalesce({c}, 0) AS {c}" for c in (*[f"g_share_{k}" for k in KINDS], "g_max_strong_share", "g_attr_known_links", "g_nid_identity_mismatch", "g_proj_degree", "g_proj_wdegree", "g_known_fraud_1hop", "g_known_fraud_2hop_paths", "g_transfer_out_cp", "g_transfer_in_cp", "g_au_hosts", "g_au_dependents", "g_au_host_max_dependents", "g_similar_count", "g_small_merchant_covisitors")) + " FROM live LEFT JOIN shares USING (person_id) LEFT JOIN mismatch USING (person_id) LEFT JOIN g1 USING (person_id) LEFT JOIN g2 USING (person_id) LEFT JOIN (SELECT src AS person_id, count(*) AS g_transfer_out_cp FROM moved GROUP BY 1) USING (person_id) LEFT JOIN (SELECT dst AS person_id, count(*) AS g_transfer_in_cp FROM moved GROUP BY 1) USING (person_id) LEFT JOIN (SELECT person_id, count(DISTINCT host_person_id) AS g_au_hosts, max(n) AS g_au_host_max_dependents FROM guests GROUP BY 1) USING (person_id) LEFT JOIN (SELECT host_person_id AS person_id, count(*) AS g_au_dependents FROM guests GROUP BY 1) USING (person_id) LEFT JOIN (SELECT person_id, count(*) AS g_similar_count FROM (SELECT a AS person_id FROM alike UNION ALL SELECT b FROM alike) GROUP BY 1) USING (person_id) LEFT JOIN met USING (person_id)",
@@ -74,10 +74,10 @@ CTES = {
     "cases": "SELECT person_id, bank, concat_ws(':', nation, segment) AS community, CAST(known_links AS DOUBLE) AS score FROM persons LEFT JOIN links USING (person_id)",
 }
 NEEDS = {
-    "attr": ["items"], "pattr": ["items"], "wattr": ["pattr", "known"], "tok": ["wattr"], "live": ["persons"], "full_edges": ["wattr", "tok", "visits", "transfers", "au", "live", "alike"], "alike": ["persons"], "truth": ["persons"], "hashed": ["truth"], "folded": ["hashed"],
+    "attr": ["items"], "pattr": ["items"], "wattr": ["pattr", "known"], "tok": ["wattr"], "live": ["persons"], "full_edges": ["wattr", "tok", "visits", "moved", "au", "live", "alike"], "alike": ["persons"], "truth": ["persons"], "hashed": ["truth"], "folded": ["hashed"],
     "flagged": ["truth"], "ring_person": ["flagged"], "look": ["flagged", "truth"], "look_rates": ["look"], "pii": ["pattr", "live"], "keyed": ["pii", "live"], "elsewhere": ["keyed"], "xb": ["pii", "elsewhere"],
     "visits": ["items"], "au": ["persons"], "known": ["items"], "monthly": ["items"], "months": ["monthly"], "lot_deg": ["attr"], "lot": ["attr", "lot_deg"], "hub": ["attr"], "small": ["attr", "hub"], "life": ["months"],
-    "recent": ["months"], "app": ["live"], "shares": ["wattr", "tok"], "mismatch": ["wattr", "live"], "g1": ["full_edges", "known"], "g2": ["full_edges", "g1"], "moved": ["transfers"], "guests": ["au", "live"], "met": ["visits"],
+    "recent": ["months"], "app": ["live"], "shares": ["wattr", "tok"], "mismatch": ["wattr", "live"], "g1": ["full_edges", "known"], "g2": ["full_edges", "g1"], "moved": ["transfers", "live"], "guests": ["au", "live"], "met": ["visits"],
     "gf": ["live", "shares", "mismatch", "g1", "g2", "moved", "guests", "alike", "met"], "half_known": ["attr", "known"], "links": ["attr", "half_known", "known"], "f": ["app", "life", "recent", "gf"], "told": ["app"], "weighted": ["scored"], "picked": ["weighted"], "curve": ["scored"], "wcurve": ["weighted"],
     "holdings": ["attr", "persons"], "grouped": ["picked"], "comm": ["grouped"], "greedy": ["comm"], "cases": ["persons", "links"],
 }
