@@ -152,21 +152,28 @@ def encrypted_totals(requests: DataFrame, bits: int = 3072, slot_bits: int = 16,
     placed = requests.select("asker", "bank", "token", "n", "real", F.floor(F.col("slot") / slots).alias("block"), (F.col("slot") % slots).cast("int").alias("place"))
     asker = requests.schema["asker"].dataType.simpleString()
 
-    def encrypt(pdf: pd.DataFrame) -> pd.DataFrame:
-        if (pdf["n"] * banks >= 1 << slot_bits).any():
-            raise OverflowError("a counter does not fit its slot")
-        first = pdf.iloc[0]
-        key = bank_paillier(bits, seed, str(first["asker"]))  # public part: n and its square
-        message = sum(int(c) << (slot_bits * int(p)) for c, p in zip(pdf["n"], pdf["place"], strict=True))
-        r = random.Random(f"{seed}|{first['asker']}|{first['bank']}|{first['block']}").randrange(2, key.n)
-        return pd.DataFrame({"asker": [first["asker"]], "block": [first["block"]], "cipher": [str(key.encrypt(message, r))]})
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
-        square, total = bank_paillier(bits, seed, str(first["asker"])).square, 1
-        for c in pdf["cipher"]:  # one for each other bank
-            total = total * int(c) % square
-        return pd.DataFrame({"asker": [first["asker"]], "block": [first["block"]], "cipher": [str(total)]})
+    def encrypted(batches):
+        for b in batches:
+            out = []
+            for who, bank, block, counters in zip(b["asker"], b["bank"], b["block"], b["counters"], strict=True):
+                key, message = bank_paillier(bits, seed, str(who)), 0  # public part: n and its square
+                for x in counters.tolist():
+                    place, n = x >> 32, x & 0xFFFFFFFF
+                    if n * banks >= 1 << slot_bits:
+                        raise OverflowError("a counter does not fit its slot")
+                    message |= n << (slot_bits * place)
+                out.append(str(key.encrypt(message, random.Random(f"{seed}|{who}|{bank}|{block}").randrange(2, key.n))))
+            yield pd.DataFrame({"asker": b["asker"], "block": b["block"], "cipher": out})
+
+    def added(batches):
+        for b in batches:
+            out = []
+            for who, ciphers in zip(b["asker"], b["ciphers"], strict=True):
+                square, total = bank_paillier(bits, seed, str(who)).square, 1
+                for c in ciphers:  # one for each other bank
+                    total = total * int(c) % square
+                out.append(str(total))
+            yield pd.DataFrame({"asker": b["asker"], "block": b["block"], "cipher": out})
 
     def opened(batches):
         for b in batches:
@@ -180,8 +187,12 @@ def encrypted_totals(requests: DataFrame, bits: int = 3072, slot_bits: int = 16,
             yield pd.DataFrame(out)
 
     cipher = f"asker {asker}, block long, cipher string"
-    sent = placed.groupBy("asker", "bank", "block").applyInPandas(encrypt, cipher)
-    sums = sent.groupBy("asker", "block").applyInPandas(add, cipher).mapInPandas(opened, f"asker {asker}, block long, place int, total long")
+    # A block has ``slots`` counters at most, and a ciphertext from each bank at most: both lists are bounded.
+    counters = F.collect_list(F.shiftleft(F.col("place").cast("long"), 32) + F.col("n")).alias("counters")
+    # Big-number work: few bytes, long tasks, so the number of partitions is stated and stays.
+    parts = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = placed.groupBy("asker", "bank", "block").agg(counters).repartition(parts, "asker", "bank", "block").mapInPandas(encrypted, cipher)
+    sums = sent.groupBy("asker", "block").agg(F.collect_list("cipher").alias("ciphers")).repartition(parts, "asker", "block").mapInPandas(added, cipher).mapInPandas(opened, f"asker {asker}, block long, place int, total long")
     return placed.where("real").select("asker", "token", "block", "place").distinct().join(sums, ["asker", "block", "place"]).select("asker", "token", F.col("total").alias("other_banks"))
 
 
