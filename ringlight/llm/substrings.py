@@ -3,10 +3,10 @@
 A byte goes if a string of ``LENGTH`` bytes that covers it also starts earlier (smaller doc_id, or the same
 document before). Documents that are byte for byte a later copy of another go whole without a sort. For the
 rest, a content-defined cover takes the place of the fixed difference cover: every string of ``LENGTH`` bytes
-holds at least one cover position (the least hash of its ``GRAM``-byte grams), and two equal strings hold it at
+has one cover position (its first gram of ``GRAM`` bytes with the least hash), and two equal strings have it at
 the same place, in whatever document they stand. So suffixes need sorting only at cover positions whose gram
 occurs again, and the buckets (ranges of the gram's hash) can be sorted one at a time, each in one task, with
-bounded contexts in place of the whole text. In a bucket the suffixes that start at the cover positions are
+bounded contexts in place of the whole text: the bytes of those strings that have the position as theirs. In a bucket the suffixes that start at the cover positions are
 sorted, and likewise the reversed prefixes that end there; their ranks and common lengths settle every tie
 between strings that hold the position: two strings are equal if and only if they have one class on the left
 and one on the right. Equality is of bytes; hashes only choose positions and buckets.
@@ -64,10 +64,10 @@ def sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(x[:-rest], x[rest:]) if rest else x
 
 
-def cover(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cover positions of texts that lie in ``data``, and their grams' hashes."""
+def cover(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cover positions of texts that lie in ``data``, their grams' hashes, and the least hash of each string, for string_ranges."""
     if len(data) < LENGTH:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
     h = gram_hashes(data)
     least = sliding(h, SPREAD, np.minimum)  # of the string that starts at each byte
     valid = np.zeros(len(least) + 1, np.int64)
@@ -77,7 +77,18 @@ def cover(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
     least[np.cumsum(valid)[:-1] == 0] = 0
     around = np.concatenate([np.zeros(SPREAD - 1, np.uint64), least, np.zeros(len(h) - len(least), np.uint64)])
     at = np.flatnonzero((h == sliding(around, SPREAD, np.maximum)[: len(h)]) & (h > 0))
-    return at, h[at]
+    return at, h[at], around
+
+
+def string_ranges(at: np.ndarray, h: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last start of the strings whose cover position is ``at`` (ascending, all positions of a gram or none); a
+    position whose strings all have an earlier one with the same gram has its first start behind its last."""
+    mine = sliding_window_view(around, SPREAD)[at] == h[:, None]
+    first, last = at - SPREAD + 1 + mine.argmax(axis=1), at - mine[:, ::-1].argmax(axis=1)
+    order = np.argsort(h, kind="stable")
+    same = np.flatnonzero(h[order][1:] == h[order][:-1])
+    first[order[same + 1]] = np.maximum(first[order[same + 1]], at[order[same]] + 1)
+    return first, last
 
 
 def blocks_of(batches, gone: HashRanges | None):
@@ -219,20 +230,23 @@ def intervals(df: DataFrame, bits: int, repeated: str, gone: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32())] + [pa.array(c, pa.binary()) for c in out[1:]], names=["bucket", "gram", "context", "doc", "key", "at", "m_doc", "m_key", "m_start", "m_end"])
 
         for ids, keys, starts, ends, data in blocks_of(batches, copies):
-            at, gram = cover(data, starts, ends)
-            gram = mixed(gram)
+            at, h, least = cover(data, starts, ends)
+            gram = mixed(h)
             order = np.argsort(gram)
             hit = np.zeros(len(gram), bool)
             hit[order] = known.find(gram[order])[0]
-            at, gram = at[hit], gram[hit]
-            if not len(at):
+            if not hit.any():
                 continue
+            at, gram = at[hit], gram[hit]
+            first, last = string_ranges(at, h[hit], least)
+            some = first <= last
+            at, gram, first, last = at[some], gram[some], first[some], last[some]
             own = np.searchsorted(ends, at, side="right")
             padded = np.concatenate([np.zeros(LEFT, np.uint8), data, np.zeros(RIGHT, np.uint8)])
             for lo in range(0, len(at), FLUSH_CONTEXTS):
                 p, o, g = at[lo : lo + FLUSH_CONTEXTS], own[lo : lo + FLUSH_CONTEXTS], gram[lo : lo + FLUSH_CONTEXTS]
                 rows = np.empty((len(p), width), np.uint8)
-                rows[:, 0], rows[:, 1] = np.minimum(p - starts[o], LEFT), np.minimum(ends[o] - p, RIGHT)
+                rows[:, 0], rows[:, 1] = p - first[lo : lo + FLUSH_CONTEXTS], last[lo : lo + FLUSH_CONTEXTS] + LENGTH - p
                 body = sliding_window_view(padded, CONTEXT)[p]
                 column = np.arange(CONTEXT)
                 inside = (column >= LEFT - rows[:, :1].astype(int)) & (column < LEFT + rows[:, 1:2].astype(int))
