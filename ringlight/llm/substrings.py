@@ -11,6 +11,10 @@ sorted, and likewise the reversed prefixes that end there; their ranks and commo
 between strings that hold the position: two strings are equal if and only if they have one class on the left
 and one on the right. Equality is of bytes; hashes only choose positions and buckets.
 
+Of a gram with more than ``HOT`` cover positions (a boilerplate between differing texts) no task gets all contexts: its
+strings go one by one to the bucket of their own hash, if that hash occurs again. Equal strings still meet, differing
+ones are dealt over all buckets, and a task passes on one of equal strings once, however often it reads them.
+
 Null and empty texts have no bytes; texts under ``LENGTH`` bytes keep all. A string that is not UTF-8 at its
 ends is judged as bytes like any other. Rows that repeat an id stand at the same place, rows with a null id all
 at one place before all others: of rows at one place none is earlier than another, whatever their texts. Each
@@ -39,6 +43,9 @@ LEFT, RIGHT = SPREAD - 1, LENGTH
 CONTEXT = LEFT + RIGHT
 #: Cover positions that a task holds at most before it passes them on, and bytes of text at a time.
 FLUSH_KEYS, FLUSH_CONTEXTS, TEXT_BYTES = 1 << 20, 60_000, 1 << 18
+#: Cover positions of one gram up to which their contexts meet in one task, and strings that a task remembers having passed on
+#: (forgotten ones are passed on again, which changes nothing but the bytes moved).
+HOT, CARRY = 10_000, 60_000
 NO_ID = -(1 << 63)
 
 
@@ -91,6 +98,26 @@ def string_ranges(at: np.ndarray, h: np.ndarray, around: np.ndarray) -> tuple[np
     return first, last
 
 
+def held_in(keys: HashRanges, wanted: np.ndarray) -> np.ndarray:
+    """Whether each of the (mixed) keys, in any order, is stored."""
+    order = np.argsort(wanted)
+    out = np.zeros(len(wanted), bool)
+    out[order] = keys.find(wanted[order])[0]
+    return out
+
+
+def single_strings(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of all strings from ``first`` to ``last``, and their (mixed) hashes: those of grams that cover them, combined."""
+    n = last - first + 1
+    at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+    h, key = gram_hashes(data), np.zeros(len(at), np.uint64)
+    with np.errstate(over="ignore"):
+        for step in [*range(0, LENGTH - GRAM, GRAM), LENGTH - GRAM]:
+            key = key * np.uint64(0xD6E8FEB86659FD93) + h[at + step]
+            key ^= key >> np.uint64(29)
+    return at, mixed(key)
+
+
 def blocks_of(batches, gone: HashRanges | None):
     """(doc ids, row keys, start and end of each text, all bytes) of blocks, without texts too short and later copies."""
     for batch in batches:
@@ -109,32 +136,40 @@ def blocks_of(batches, gone: HashRanges | None):
                 yield ids[which], own[which], np.concatenate([[0], ends[:-1]]), ends, np.frombuffer(b"".join(texts), np.uint8)
 
 
-def store_keys(df: DataFrame, folder: str, bits: int, least_count: int) -> None:
-    """Write, for each bucket, the sorted keys that occur ``least_count`` times or more in rows of
-    bucket, once, many (keys found once, and more often, by one task)."""
+def store_keys(df: DataFrame, bits: int, folders: dict[str, int]) -> list[int]:
+    """Write to each folder, for each bucket, the sorted keys that occur as often as it asks for, or more, in rows of bucket,
+    once, many, count (keys found once, and more often, by one task, and how often). Returns the number of keys of each folder."""
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        once = [np.frombuffer(b, np.uint64) for b in pdf["once"]]
-        many = [np.frombuffer(b, np.uint64) for b in pdf["many"]]
-        keys, n = np.unique(np.concatenate(once + many + many), return_counts=True)
-        keys = keys[n >= least_count]
-        b = int(pdf["bucket"].iloc[0])
-        write_array(f"{folder}/{b}.keys", keys)
-        return pd.DataFrame({"bucket": [b], "n": [len(keys)]})
-
-    done = {r[0] for r in df.groupBy("bucket").applyInPandas(write, "bucket int, n long").collect()}  # 2**bits rows at most
-    for b in set(range(1 << bits)) - done:
-        write_array(f"{folder}/{b}.keys", np.empty(0, np.uint64))
+        once = np.frombuffer(b"".join(pdf["once"]), np.uint64)
+        many, count = np.frombuffer(b"".join(pdf["many"]), np.uint64), np.frombuffer(b"".join(pdf["count"]), np.uint32)
+        keys = np.concatenate([once, many])
+        order = np.argsort(keys)
+        keys, n = keys[order], np.concatenate([np.ones(len(once), np.int64), count.astype(np.int64)])[order]
+        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        keys, n = keys[at], np.add.reduceat(n, at)
+        b, kept = int(pdf["bucket"].iloc[0]), []
+        for folder, least in folders.items():
+            write_array(f"{folder}/{b}.keys", keys[n >= least])
+            kept.append(int((n >= least).sum()))
+        return pd.DataFrame({"bucket": [b], "n": [kept]})
+
+    done = {r[0]: r[1] for r in df.groupBy("bucket").applyInPandas(write, "bucket int, n array<long>").collect()}  # 2**bits rows at most
+    for b in set(range(1 << bits)) - set(done):
+        for folder in folders:
+            write_array(f"{folder}/{b}.keys", np.empty(0, np.uint64))
+    return [sum(n[k] for n in done.values()) for k in range(len(folders))]
 
 
 def key_rows(keys: np.ndarray, bits: int):
-    """Rows of bucket, once, many for store_keys."""
+    """Rows of bucket, once, many, count for store_keys."""
     keys, n = np.unique(keys, return_counts=True)
     at = bucket_slices(keys, bits)
     which = np.flatnonzero(np.diff(at))
     single = n == 1
-    parts = [(keys[at[b] : at[b + 1]], single[at[b] : at[b + 1]]) for b in which]
-    return pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array([k[s].tobytes() for k, s in parts], pa.binary()), pa.array([k[~s].tobytes() for k, s in parts], pa.binary())], names=["bucket", "once", "many"])
+    parts = [(keys[at[b] : at[b + 1]], single[at[b] : at[b + 1]], n[at[b] : at[b + 1]].astype(np.uint32)) for b in which]
+    columns = [[k[s].tobytes() for k, s, _ in parts], [k[~s].tobytes() for k, s, _ in parts], [c[~s].tobytes() for _, s, c in parts]]
+    return pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), *[pa.array(c, pa.binary()) for c in columns]], names=["bucket", "once", "many", "count"])
 
 
 def later_copies(ids: DataFrame) -> DataFrame:
@@ -191,9 +226,23 @@ def sort_bucket(gram: np.ndarray, context: np.ndarray, left: np.ndarray, right:
     return hit, low[hit], high[hit]
 
 
-def collapsed(gram, rows, doc, own, at):
+def joined_runs(doc, own, start, end):
+    """Intervals with those that overlap in one row made one."""
+    if not len(doc):
+        return doc, own, start, end
+    order = np.lexsort((start, own, doc))
+    doc, own, start, end = doc[order], own[order], start[order], end[order]
+    row = np.concatenate([[0], np.cumsum((doc[1:] != doc[:-1]) | (own[1:] != own[:-1]))])
+    base = row * np.int64(int(end.max()) + 1)  # far below 2**63: rows of a bucket times bytes of a text
+    reach = np.maximum.accumulate(base + end)
+    new = np.concatenate([[True], (row[1:] != row[:-1]) | ((base + start)[1:] > reach[:-1])])
+    final = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(doc) - 1]])
+    return doc[new], own[new], start[new], (reach - base)[final]
+
+
+def collapsed(gram, rows, doc, own, at, *more):
     """Rows in order of (doc, own, at). Of rows with one context those of the first document stay, one for each of its rows.
-    Returns also the index of what stays, and of those that start later than one with their context."""
+    Returns also the index of what stays, of those that start later than one with their context, and ``more`` in that order."""
     order = np.lexsort((at, own, doc))
     gram, rows, doc, own, at = gram[order], rows[order], doc[order], own[order], at[order]
     by = np.argsort(rows.view(f"S{rows.shape[1]}").ravel(), kind="stable")
@@ -201,20 +250,28 @@ def collapsed(gram, rows, doc, own, at):
     later, begins = not_first(doc[by], own[by], at[by], new)
     keep = np.zeros(len(doc), bool)
     keep[by[begins & ~later]] = True
-    return gram, rows, doc, own, at, np.flatnonzero(keep), by[later]
+    return gram, rows, doc, own, at, np.flatnonzero(keep), by[later], *[m[order] for m in more]
 
 
-def intervals(df: DataFrame, bits: int, repeated: str, gone: str) -> DataFrame:
-    """doc_id, own, start, end of covered bytes; a row's intervals may overlap."""
+def intervals(df: DataFrame, bits: int, repeated: str, gone: str, hot: str | None, strings: str | None) -> DataFrame:
+    """doc_id, own, start, end of covered bytes; a row's intervals may overlap. ``hot`` and ``strings`` hold the hot grams and
+    the hashes of their strings that occur again."""
     width = CONTEXT + 3
 
     def contexts(batches):
         known, copies = HashRanges(repeated, bits, {}), HashRanges(gone, bits, {})
-        held, count = [], 0
+        crowded, again = (HashRanges(f, bits, {}) if f else None for f in (hot, strings))
+        held, count, carried = [], 0, None
+        GRAMS, STRING, PASSED_ON = 0, 1, 2
 
         def flush():
-            gram, rows, doc, key, at, keep, later = collapsed(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            whole = later[rows[later, 0].astype(int) + rows[later, 1] >= LENGTH]
+            nonlocal carried
+            parts = held if carried is None else [*held, carried]
+            gram, rows, doc, key, at, keep, later, kind = collapsed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            w_doc, w_key, w_start, w_end = joined_runs(doc[later], key[later], at[later] - rows[later, 0], at[later] + rows[later, 1])
+            strings = keep[kind[keep] != GRAMS][:CARRY]
+            carried = (gram[strings], rows[strings], doc[strings], key[strings], at[strings], np.full(len(strings), PASSED_ON, np.uint8)) if len(strings) else None
+            keep = keep[kind[keep] != PASSED_ON]
             order = keep[np.argsort(gram[keep], kind="stable")]
             cuts = bucket_slices(gram[order], bits)
             empty = b""
@@ -223,8 +280,8 @@ def intervals(df: DataFrame, bits: int, repeated: str, gone: str) -> DataFrame:
                 r = order[cuts[b] : cuts[b + 1]]
                 for c, v in zip(out, (b, gram[r].tobytes(), rows[r].tobytes(), doc[r].tobytes(), key[r].tobytes(), at[r].tobytes(), empty, empty, empty, empty), strict=True):
                     c.append(v)
-            if len(whole):
-                for c, v in zip(out, (int(doc[whole[0]]) % (1 << bits), empty, empty, empty, empty, empty, doc[whole].tobytes(), key[whole].tobytes(), (at[whole] - rows[whole, 0]).tobytes(), (at[whole] + rows[whole, 1]).tobytes()), strict=True):
+            if len(later):
+                for c, v in zip(out, (int(w_doc[0]) % (1 << bits), empty, empty, empty, empty, empty, w_doc.tobytes(), w_key.tobytes(), w_start.tobytes(), w_end.tobytes()), strict=True):
                     c.append(v)
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32())] + [pa.array(c, pa.binary()) for c in out[1:]], names=["bucket", "gram", "context", "doc", "key", "at", "m_doc", "m_key", "m_start", "m_end"])
@@ -232,15 +289,21 @@ def intervals(df: DataFrame, bits: int, repeated: str, gone: str) -> DataFrame:
         for ids, keys, starts, ends, data in blocks_of(batches, copies):
             at, h, least = cover(data, starts, ends)
             gram = mixed(h)
-            order = np.argsort(gram)
-            hit = np.zeros(len(gram), bool)
-            hit[order] = known.find(gram[order])[0]
+            hit = held_in(known, gram)
             if not hit.any():
                 continue
             at, gram = at[hit], gram[hit]
             first, last = string_ranges(at, h[hit], least)
             some = first <= last
             at, gram, first, last = at[some], gram[some], first[some], last[some]
+            kind = np.full(len(at), GRAMS, np.uint8)
+            if crowded is not None and (full := held_in(crowded, gram)).any():
+                start, string = single_strings(data, first[full], last[full])
+                twice = held_in(again, string)
+                start, string = start[twice], string[twice]
+                at, gram = np.concatenate([at[~full], start]), np.concatenate([gram[~full], string])
+                first, last = np.concatenate([first[~full], start]), np.concatenate([last[~full], start])
+                kind = np.repeat(np.array([GRAMS, STRING], np.uint8), [(~full).sum(), len(start)])
             own = np.searchsorted(ends, at, side="right")
             padded = np.concatenate([np.zeros(LEFT, np.uint8), data, np.zeros(RIGHT, np.uint8)])
             for lo in range(0, len(at), FLUSH_CONTEXTS):
@@ -251,7 +314,7 @@ def intervals(df: DataFrame, bits: int, repeated: str, gone: str) -> DataFrame:
                 column = np.arange(CONTEXT)
                 inside = (column >= LEFT - rows[:, :1].astype(int)) & (column < LEFT + rows[:, 1:2].astype(int))
                 rows[:, 2:-1], rows[:, -1] = np.where(inside, body, 0), 1
-                held.append((g, rows, ids[o], keys[o], p - starts[o]))
+                held.append((g, rows, ids[o], keys[o], p - starts[o], kind[lo : lo + FLUSH_CONTEXTS]))
                 count += len(p)
                 if count >= FLUSH_CONTEXTS:
                     yield flush()
@@ -268,8 +331,7 @@ def intervals(df: DataFrame, bits: int, repeated: str, gone: str) -> DataFrame:
         own, mine, at = (joined(c, np.int64) for c in ("doc", "key", "at"))
         if len(gram):
             gram, rows, own, mine, at, keep, later = collapsed(gram, rows, own, mine, at)
-            whole = later[rows[later, 0].astype(int) + rows[later, 1] >= LENGTH]
-            more = [(own[whole], mine[whole], at[whole] - rows[whole, 0], at[whole] + rows[whole, 1])]
+            more = [(own[later], mine[later], at[later] - rows[later, 0], at[later] + rows[later, 1])]
             grams, inverse, n = np.unique(gram[keep], return_inverse=True, return_counts=True)
             keep = keep[n[inverse] > 1]
             if len(keep):
@@ -277,7 +339,7 @@ def intervals(df: DataFrame, bits: int, repeated: str, gone: str) -> DataFrame:
                 hit, low, high = sort_bucket(gram[keep], rows[:, 2:-1], rows[:, 0].astype(int), rows[:, 1].astype(int), o, k, p)
                 more.append((o[hit], k[hit], p[hit] - high, p[hit] - low + LENGTH))
             doc, key, start, end = (np.concatenate([x, *y]) for x, y in zip((doc, key, start, end), zip(*more, strict=True), strict=True))
-        return pd.DataFrame({"doc_id": doc, "own": key, "start": start, "end": end})
+        return pd.DataFrame(dict(zip(("doc_id", "own", "start", "end"), joined_runs(doc, key, start, end), strict=True)))
 
     return df.mapInArrow(contexts, "bucket int, gram binary, context binary, doc binary, key binary, at binary, m_doc binary, m_key binary, m_start binary, m_end binary").groupBy("bucket").applyInPandas(meet, "doc_id long, own long, start long, end long")
 
@@ -297,43 +359,68 @@ def row_key(text: str):
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
-def repeated_spans(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def repeated_spans(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", crowd: int = HOT) -> DataFrame:
     """doc_id, own (the text's hash, which tells rows of one id apart), and ``spans``: the intervals of covered bytes, flat
-    (start, end, start, ...); none for later copies, which have ``copied`` true. Rows without covered bytes are absent; a null id is ``NO_ID``."""
+    (start, end, start, ...); none for later copies, which have ``copied`` true. Rows without covered bytes are absent; a null id is
+    ``NO_ID``. A gram with more than ``crowd`` cover positions has its strings dealt one by one, with the same result."""
     spark = documents.sparkSession
     docs = documents.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), row_key(text).alias("own"), F.col(text).alias("text"))
     bits = bucket_bits(docs.rdd.getNumPartitions())
     ids = checkpointed(docs.where(F.octet_length("text") >= LENGTH).select("doc_id", "own", F.sha2(F.col("text").cast("binary"), 256).alias("digest")))
     copies = checkpointed(later_copies(ids))
-    gone, repeated = shared_folder(spark, "copies"), shared_folder(spark, "grams")
+    gone, repeated, hot, strings = (shared_folder(spark, n) for n in ("copies", "grams", "hot", "strings"))
 
     def copy_keys(batches):
         for batch in batches:
             yield key_rows(mixed(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)), bits)
 
-    def grams(batches):
-        held, count = [], 0
-        for _, _, starts, ends, data in blocks_of(batches, HashRanges(gone, bits, {})):
-            held.append(mixed(cover(data, starts, ends)[1]))
-            count += len(held[-1])
-            if count > FLUSH_KEYS:
+    def counted(keys_of):
+        """Rows of store_keys for the keys that ``keys_of()`` returns for the bytes of a block."""
+
+        def run(batches):
+            keys, held, count = keys_of(), [], 0
+            for _, _, starts, ends, data in blocks_of(batches, HashRanges(gone, bits, {})):
+                held.append(keys(data, starts, ends))
+                count += len(held[-1])
+                if count > FLUSH_KEYS:
+                    yield key_rows(np.concatenate(held), bits)
+                    held, count = [], 0
+            if count:
                 yield key_rows(np.concatenate(held), bits)
-                held, count = [], 0
-        if count:
-            yield key_rows(np.concatenate(held), bits)
-
-    shape = "bucket int, once binary, many binary"
-    store_keys(copies.select("doc_id").distinct().mapInArrow(copy_keys, shape), gone, bits, 1)
-    store_keys(docs.mapInArrow(grams, shape), repeated, bits, 2)
-    found = intervals(docs, bits, repeated, gone).groupBy("doc_id", "own").agg(F.flatten(F.collect_list(F.array("start", "end"))).alias("spans"))
+
+        return docs.mapInArrow(run, shape)
+
+    def grams():
+        return lambda data, starts, ends: mixed(cover(data, starts, ends)[1])
+
+    def hot_strings():
+        crowded = HashRanges(hot, bits, {})
+
+        def keys(data, starts, ends):
+            at, h, least = cover(data, starts, ends)
+            full = held_in(crowded, mixed(h))
+            if not full.any():
+                return np.empty(0, np.uint64)
+            first, last = string_ranges(at[full], h[full], least)
+            some = first <= last
+            return single_strings(data, first[some], last[some])[1]
+
+        return keys
+
+    shape = "bucket int, once binary, many binary, count binary"
+    store_keys(copies.select("doc_id").distinct().mapInArrow(copy_keys, shape), bits, {gone: 1})
+    _, crowds = store_keys(counted(grams), bits, {repeated: 2, hot: crowd + 1})
+    if crowds:
+        store_keys(counted(hot_strings), bits, {strings: 2})
+    found = intervals(docs, bits, repeated, gone, *((hot, strings) if crowds else (None, None))).groupBy("doc_id", "own").agg(F.flatten(F.collect_list(F.array("start", "end"))).alias("spans"))
     return found.withColumn("copied", F.lit(False)).unionByName(copies.select("doc_id", "own", F.array().cast("array<bigint>").alias("spans"), F.lit(True).alias("copied")))
 
 
-def deduplicated(documents: DataFrame, make, fields: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def deduplicated(documents: DataFrame, make, fields: str, text: str = "text", doc_id: str = "doc_id", crowd: int = HOT) -> DataFrame:
     """doc_id and the columns that ``make`` returns for (bytes, runs removed) of every document."""
     from pyspark.sql import types as T
 
-    spans = repeated_spans(documents, text, doc_id)
+    spans = repeated_spans(documents, text, doc_id, crowd)
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("__id"), row_key(text).alias("__own"))
     rows = rows.join(spans.withColumnsRenamed({"doc_id": "__id", "own": "__own"}), ["__id", "__own"], "left").select("doc_id", "text", "spans", "copied")
     added = T._parse_datatype_string(fields)

@@ -431,7 +431,8 @@ def test_substrings(spark, odd, none):
     r.shuffle(rows)
     fields = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    assert by_id(substrings.deduplicated(df, substrings.digest, fields), "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+    for crowd in (substrings.HOT, 12, 1):  # from no hot gram to all
+        assert by_id(substrings.deduplicated(df, substrings.digest, fields, crowd=crowd), "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
     got = by_id(substrings.deduplicated(odd, substrings.digest, fields), "n_bytes", "n_removed")
     assert got[5][1] < got[5][0] and got[6][0] == got[6][1] and got[4][1] == 0  # a repeated row is not its own copy
     assert substrings.deduplicated(none, substrings.digest, fields).count() == 0
@@ -454,11 +455,33 @@ def test_substrings_of_rows_that_share_an_id(spark):
                 gone[p : p + 100] = b"\1" * 100
             seen.add(data[p : p + 100])
         want.append((place(i), len(data), sum(gone), sha(bytes(b for b, g in zip(data, gone) if not g))))
-    for parts in (1, 4):
-        got = substrings.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), substrings.digest, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    for parts, crowd in ((1, substrings.HOT), (4, substrings.HOT), (3, 1)):
+        got = substrings.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), substrings.digest, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", crowd=crowd)
         assert sorted((place(x.doc_id), x.n_bytes, x.n_removed, x.kept_sha256) for x in got.collect()) == sorted(want)
 
 
+def test_strings_of_a_hot_gram(spark):
+    """A boilerplate between differing texts: beyond ``crowd`` positions no bucket gets a row a document, whatever the flushes."""
+    r = random.Random(21)
+    word = lambda n: "".join(r.choices("abcdefgh \n", k=n))
+    boiler = word(110)
+    rows = [(i, word(150) + boiler + word(150)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = by_id(substrings.deduplicated(df, substrings.digest, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", crowd=20), "n_removed", "n_spans")
+    assert got.pop(0)[0] == 0 and all(110 <= n < 130 and k == 1 for n, k in got.values())
+    texts = np.frombuffer("".join(t for _, t in rows).encode(), np.uint8)
+    ends = np.cumsum([len(t) for _, t in rows])
+    at, h, least = substrings.cover(texts, np.concatenate([[0], ends[:-1]]), ends)
+    first, last = substrings.string_ranges(at, h, least)
+    some = first <= last
+    starts, keys = substrings.single_strings(texts, first[some], last[some])
+    assert sorted(starts) == [s for e, (_, t) in zip(ends, rows) for s in range(e - len(t), e - 99)]  # each string has one position
+    held = collections.defaultdict(set)
+    for s, k in zip(starts, keys):
+        held[texts[s : s + 100].tobytes()].add(k)
+    assert all(len(k) == 1 for k in held.values()) and len(set().union(*held.values())) == len(held)
+
+
 def similar_by_hand(texts):
     """The least id of each group of texts whose sets of five-word shingles have a similarity of 0.8 or more."""
     held = {}
