@@ -174,12 +174,16 @@ def key_rows(keys: np.ndarray, bits: int):
 
 def later_copies(ids: DataFrame) -> DataFrame:
     """doc_id and own of documents of ``LENGTH`` bytes or more whose bytes are those of a document with a smaller id. An id of
-    several rows counts if that holds of all of them; else its rows go the long way."""
-    first = ids.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copied = ids.join(first, "digest").where("doc_id > first").groupBy("doc_id").agg(F.count("*").alias("copied"))
-    rows = ids.join(copied, "doc_id").groupBy("doc_id", "own", "copied").agg(F.count("*").alias("n"))
-    whole = rows.groupBy("doc_id", "copied").agg(F.sum("n").alias("n")).where("n = copied").select("doc_id")
-    return rows.join(whole, "doc_id", "left_semi").select("doc_id", "own")
+    several rows counts if that holds of all of them; else its rows go the long way. Rows are dealt by ranges of (digest,
+    doc_id), and a digest's least id is sent to each range that holds it, so a large group of copies lies in many tasks."""
+    rows = ids.groupBy("digest", "doc_id", "own").agg(F.count("*").alias("n")).drop("n")
+    rows = checkpointed(rows.repartitionByRange("digest", "doc_id").withColumn("part", F.spark_partition_id()))
+    here = rows.groupBy("digest", "part").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    first = here.groupBy("digest").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.collect_list("part").alias("parts")).where("n > 1")
+    first = first.select("digest", "first", F.explode("parts").alias("part"))
+    marked = rows.join(first, ["digest", "part"], "left").select("doc_id", "own", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("later"))
+    whole = marked.groupBy("doc_id").agg(F.min("later").alias("every")).where("every").select("doc_id")
+    return marked.where("later").join(whole, "doc_id", "left_semi").select("doc_id", "own").distinct()
 
 
 def not_first(doc: np.ndarray, own: np.ndarray, at: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -366,7 +370,7 @@ def repeated_spans(documents: DataFrame, text: str = "text", doc_id: str = "doc_
     spark = documents.sparkSession
     docs = documents.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), row_key(text).alias("own"), F.col(text).alias("text"))
     bits = bucket_bits(docs.rdd.getNumPartitions())
-    ids = checkpointed(docs.where(F.octet_length("text") >= LENGTH).select("doc_id", "own", F.sha2(F.col("text").cast("binary"), 256).alias("digest")))
+    ids = checkpointed(docs.where(F.octet_length("text") >= LENGTH).select("doc_id", "own", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest")))
     copies = checkpointed(later_copies(ids))
     gone, repeated, hot, strings = (shared_folder(spark, n) for n in ("copies", "grams", "hot", "strings"))
 
