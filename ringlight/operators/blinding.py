@@ -110,37 +110,61 @@ def leakage_report(values: DataFrame, column: str, key: int, guess: int, seed: s
     return leakage_checks(tokens.select("token"), known, received.select(F.col("x").alias("point")), tried.select("point"), tried.select("token"))
 
 
-def encrypted_score(rows: DataFrame, key_column: str, weights: dict[str, float], intercept: float, bits: int = 3072, seed: int = 1, scale: int = 1 << 40) -> DataFrame:
+def encrypted_score(rows: DataFrame, key_column: str, weights: dict[str, float], intercept: float, bits: int = 3072, seed: int = 1, scale: int = 1 << 40, whole_bits: int = 31) -> DataFrame:
     """``key_column`` and ``logit``: a linear score from encrypted features, fixed point with 40 binary digits.
 
     The holder encrypts its features, the scorer raises ciphertexts to its weights and multiplies them, the
-    holder decrypts. A null feature counts as 0."""
+    holder decrypts. A null feature counts as 0. Weights are the same for all rows, so a ciphertext holds a column of several
+    rows, each in digits of its own that its logit can't leave; a row with a feature of ``whole_bits`` bits or more before the
+    point has ciphertexts of its own."""
     key, columns = Paillier(bits, seed), list(weights)
-    fixed = [round(weights[c] * scale) for c in columns]
+    fixed, shift = [round(weights[c] * scale) for c in columns], round(intercept * scale * scale)
+    most = scale << whole_bits
+    width = (sum(map(abs, fixed)) * most + abs(shift)).bit_length() + 1
+    slots = max(1, (key.n.bit_length() - 2) // width)
+    kind = rows.schema[key_column].dataType.simpleString()
 
     def encrypt(batches):
         for b in batches:
-            out = {key_column: b[key_column]}
-            for c in columns:
-                out[c] = [str(key.encrypt(round((0.0 if pd.isna(v) else v) * scale) % key.n, random.Random(f"{seed}|{k}|{c}").randrange(2, key.n))) for k, v in zip(b[key_column], b[c], strict=True)]
+            keys = b[key_column].tolist()
+            values = [[round((0.0 if pd.isna(v) else v) * scale) for v in b[c].tolist()] for c in columns]
+            wide = {i for i in range(len(keys)) if any(abs(x[i]) >= most for x in values)}
+            packed = [i for i in range(len(keys)) if i not in wide]
+            groups = [packed[i : i + slots] for i in range(0, len(packed), slots)] + [[i] for i in sorted(wide)]
+            out = {"keys": [[keys[i] for i in g] for g in groups]}
+            for c, x in zip(columns, values, strict=True):
+                out[c] = [f"{key.seal(sum(x[i] << (width * k) for k, i in enumerate(g)) % key.n, f'{seed}|{keys[g[0]]}|{c}'):x}" for g in groups]
             yield pd.DataFrame(out)
 
     def score(batches):
         for b in batches:
             out = []
-            for row in zip(*[b[c] for c in columns], strict=True):
-                total = key.encrypt(round(intercept * scale * scale) % key.n, 1)
+            for keys, *row in zip(b["keys"], *[b[c] for c in columns], strict=True):
+                total, under = key.encrypt(sum(shift << (width * k) for k in range(len(keys))) % key.n, 1), 1
                 for w, c in zip(fixed, row, strict=True):
-                    total = total * pow(int(c), w % key.n, key.square) % key.square
-                out.append(str(total))
-            yield pd.DataFrame({key_column: b[key_column], "cipher": out})
+                    if w >= 0:
+                        total = total * pow(int(c, 16), w, key.square) % key.square
+                    else:
+                        under = under * pow(int(c, 16), -w, key.square) % key.square
+                out.append(f"{total * pow(under, -1, key.square) % key.square:x}")
+            yield pd.DataFrame({"keys": b["keys"], "cipher": out})
 
     def decrypt(batches):
+        half = 1 << (width - 1)
         for b in batches:
-            m = [key.decrypt(int(c)) for c in b["cipher"]]
-            yield pd.DataFrame({key_column: b[key_column], "logit": [(v - key.n if v > key.n // 2 else v) / scale**2 for v in m]})
+            out = {key_column: [], "logit": []}
+            for keys, c in zip(b["keys"], b["cipher"], strict=True):
+                m = key.decrypt(int(c, 16))
+                m = m - key.n if m > key.n // 2 else m
+                for _ in range(len(keys) - 1):
+                    low = (m + half) % (2 * half) - half
+                    out["logit"].append(low / scale**2)
+                    m = (m - low) >> width
+                out["logit"].append(m / scale**2)
+                out[key_column] += list(keys)
+            yield pd.DataFrame(out)
 
-    kind = rows.schema[key_column].dataType.simpleString()
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ciphers = rows.select(key_column, *[F.col(c).cast("double") for c in columns]).repartition(parts, key_column).mapInPandas(encrypt, f"{key_column} {kind}, " + ", ".join(f"{c} string" for c in columns))
-    return ciphers.mapInPandas(score, f"{key_column} {kind}, cipher string").mapInPandas(decrypt, f"{key_column} {kind}, logit double")
+    dealt = rows.select(key_column, *[F.col(c).cast("double") for c in columns]).repartition(parts, key_column).sortWithinPartitions(key_column)
+    ciphers = dealt.mapInPandas(encrypt, f"keys array<{kind}>, " + ", ".join(f"{c} string" for c in columns))
+    return ciphers.mapInPandas(score, f"keys array<{kind}>, cipher string").mapInPandas(decrypt, f"{key_column} {kind}, logit double")

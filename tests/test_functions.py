@@ -203,3 +203,21 @@ def test_snapshot_ignores_the_future(spark):
     s = snapshot(t, 10)
     assert sorted((r.person_id, r.known_fraud, r.closed, r.scored) for r in s["persons"].collect()) == [("a", False, False, True), ("b", True, True, False)]
     assert [(r.person_id, r.token) for r in s["person_attr"].collect()] == [("a", "x")]
+
+
+def test_sealed_and_packed():
+    """Sealing needs no secret, differs by seed and adds up; decryption by the two primes is the textbook's."""
+    key = crossbank.Paillier(512, 3)
+    a, b = key.seal(20, "a"), key.seal(key.n - 7, "b")
+    assert key.decrypt(a * b % key.square) == 13 and a == key.seal(20, "a") != key.seal(20, "c")
+    (p, _, _), (q, _, _) = key.primes
+    secret = (p - 1) * (q - 1)
+    assert all(key.decrypt(c) == (pow(c, secret, key.square) - 1) // key.n * pow(secret, -1, key.n) % key.n for c in (a, b, key.encrypt(5, 99)))
+
+
+def test_score_packs_rows_and_keeps_wide_ones(spark):
+    """Rows share ciphertexts (4 in 512 bits here), and a feature too wide for that is still scored whole."""
+    values = [0.0, -1e6, 2.5e12, -3e15, 1e9, None, -0.25, 7.0, 1e-6]
+    rows = spark.createDataFrame([(i, v, -v if v else 1.0) for i, v in enumerate(values)], "id long, a double, b double").coalesce(1)
+    got = {r.id: r.logit for r in blinding.encrypted_score(rows, "id", {"a": 0.5, "b": -0.75}, 2.0, 512).collect()}
+    assert got == {i: pytest.approx(2.0 + 0.5 * (v or 0.0) - 0.75 * (-v if v else 1.0), rel=1e-9, abs=1e-9) for i, v in enumerate(values)}
