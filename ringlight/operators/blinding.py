@@ -30,15 +30,70 @@ def add(a, b):
     return x, (slope * (a[0] - x) - a[1]) % P
 
 
-def times(k: int, point):
-    out = None
+#: Fixed values of the curve: LAMBDA times a point is (BETA * x, y); and two short vectors (a, b) with a + b * LAMBDA = 0.
+BETA = 0x7AE96A2B657C07106E64479EAC3434E99CF0497512F58995C1396C28719501EE
+A1, B1 = 0x3086D221A7D46BCDE86C90E49284EB15, -0xE4437ED6010E88286F547FA90ABFE4C3
+A2, B2 = 0x114CA50F7A8E2F3F657C1108D9D44CFD8, A1
+
+
+def _halves(k: int) -> tuple[int, int]:
+    """Two numbers of half the length, of either sign, with first + second * LAMBDA = k."""
+    c1, c2 = (B2 * k + ORDER // 2) // ORDER, (-B1 * k + ORDER // 2) // ORDER
+    return k - c1 * A1 - c2 * A2, -c1 * B1 - c2 * B2
+
+
+def _digits(k: int) -> list[int]:
+    """Signed binary digits from the lowest on: 0 or odd, -7 to 7, three zeros at least after each."""
+    sign, k, out = (-1 if k < 0 else 1), abs(k), []
     while k:
-        if k & 1:
-            out = add(out, point)
-        point, k = add(point, point), k >> 1
+        d = (k & 15) - 16 * (k & 15 > 7) if k & 1 else 0
+        out.append(sign * d)
+        k = (k - d) >> 1
     return out
 
 
+def times(k: int, point):
+    """The multiple of a point: both halves of k in one run of doublings, without a division until the end."""
+    k %= ORDER
+    if point is None or not k:
+        return None
+    odd, twice = [point], add(point, point)
+    while len(odd) < 4:
+        odd.append(add(odd[-1], twice))
+    plain = {d: q for i, (x, y) in enumerate(odd) for d, q in ((2 * i + 1, (x, y)), (-2 * i - 1, (x, P - y)))}
+    turned = {d: (BETA * x % P, y) for d, (x, y) in plain.items()}
+    first, second = map(_digits, _halves(k))
+    x, y, z = 0, 1, 0  # x / z^2 and y / z^3; infinity if z is 0
+    for i in range(max(len(first), len(second)) - 1, -1, -1):
+        if z:
+            b = y * y % P
+            d, e = 4 * x * b % P, 3 * x * x % P
+            x, z = (e * e - 2 * d) % P, 2 * y * z % P
+            y = (e * (d - x) - 8 * b * b) % P
+        for digits, table in ((first, plain), (second, turned)):
+            if i < len(digits) and digits[i]:
+                x, y, z = _plus(x, y, z, *table[digits[i]])
+    if not z:
+        return None
+    i = pow(z, -1, P)
+    return x * i * i % P, y * i * i * i % P
+
+
+def _plus(x: int, y: int, z: int, u: int, v: int) -> tuple[int, int, int]:
+    """(x, y, z) and the point (u, v)."""
+    if not z:
+        return u, v, 1
+    square = z * z % P
+    h, r = (u * square - x) % P, (v * square * z - y) % P
+    if not h:  # the same point, or its opposite
+        same = add((u, v), (u, v)) if not r else None
+        return (*same, 1) if same else (0, 1, 0)
+    hh = h * h % P
+    hhh, w = h * hh % P, x * hh % P
+    new = (r * r - hhh - 2 * w) % P
+    return new, (r * (w - new) - y * hhh) % P, z * h % P
+
+
 def to_curve(value: str):
     """The first point whose x is a hash of the value and a counter."""
     n = 0

@@ -28,3 +28,21 @@ def test_encrypted_score(spark):
     rows = spark.range(20).select("id", (F.col("id") / 7 - 1).alias("a"), F.when(F.col("id") > 3, -F.col("id") * 0.5).alias("b"))
     got = blinding.encrypted_score(rows, "id", {"a": 1.25, "b": -0.3}, 0.5, 512).collect()
     assert all(r.logit == pytest.approx(0.5 + 1.25 * (r.id / 7 - 1) + (0.15 * r.id if r.id > 3 else 0), abs=1e-9) for r in got) and len(got) == 20
+
+
+def test_multiples_of_points():
+    """The short way against sums of points, from 0 to beyond the order, and a point's own opposite."""
+    import random
+
+    g, r = blinding.to_curve("g"), random.Random(1)
+
+    def plainly(k, point):
+        out = None
+        while k:
+            out, point, k = blinding.add(out, point) if k & 1 else out, blinding.add(point, point), k >> 1
+        return out
+
+    n = blinding.ORDER
+    for k in [*range(40), n - 1, n, n + 5, 2 * n - 3, *(r.randrange(n) for _ in range(30))]:
+        assert blinding.times(k, g) == plainly(k, g)
+    assert blinding.times(5, None) is None and max(abs(x).bit_length() for x in blinding._halves(n - 12345)) <= 129
