@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hashing, normalize, similarity
+from ..session import checkpointed
 
 NEVER = 1_000_000
 #: What banks know of an attribute's value; whether an employer is fictitious is not among it.
@@ -16,12 +17,19 @@ LABELS = ("kind", "ring_id", "operator_id", "sophistication", "scenario", "house
 def similar_pairs(persons: DataFrame, block: list[str], name: str, least: float, day: str = "onboard_day") -> DataFrame:
     """a, b, first_day (the later of both days), score of pairs within a block whose names are alike by the Indel ratio.
 
-    An equi-join on the block. Lengths that can't reach the ratio are left out before the fold; the names are computed
-    once, before the join."""
+    Each two different names of a block are compared once, however many persons and blocks have them; lengths that can't reach
+    the ratio are left out before the fold. The pairs of persons come by an equi-join on block and name."""
     p = persons.select(*block, "person_id", F.col(name).alias("n"), F.col(day).alias("d"))
+    names = p.where(F.col("n").isNotNull()).select(*block, "n").distinct()
+    a, b = names.withColumnRenamed("n", "na"), names.withColumnRenamed("n", "nb")
+    met = a.join(b, block).where("na <= nb").where(similarity.could_reach(F.col("na"), F.col("nb"), least)).select("na", "nb").distinct()
+    parts = int(p.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # long work on few bytes
+    met = met.repartition(parts, "na", "nb")
+    alike = checkpointed(met.withColumn("score", similarity.indel_ratio(F.col("na"), F.col("nb"))).where(F.col("score") >= least))
+    both = alike.unionByName(alike.where("na <> nb").select(F.col("nb").alias("na"), F.col("na").alias("nb"), "score"))
     a, b = p.withColumnsRenamed({"person_id": "a", "n": "na", "d": "da"}), p.withColumnsRenamed({"person_id": "b", "n": "nb", "d": "db"})
-    pairs = a.join(b, block).where("a < b").where(similarity.could_reach(F.col("na"), F.col("nb"), least))
-    return pairs.select("a", "b", F.greatest("da", "db").alias("first_day"), similarity.indel_ratio(F.col("na"), F.col("nb")).alias("score")).where(F.col("score") >= least)
+    pairs = a.join(names.withColumnRenamed("n", "na").join(both, "na"), [*block, "na"]).join(b, [*block, "nb"]).where("a < b")
+    return pairs.select("a", "b", F.greatest("da", "db").alias("first_day"), "score")
 
 
 def bank_view(sim: dict[str, DataFrame], secret: str, seed: int, banks: list[str], least: float = 85.0) -> dict[str, DataFrame]:

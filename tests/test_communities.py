@@ -46,3 +46,19 @@ def test_multiples_of_points():
     for k in [*range(40), n - 1, n, n + 5, 2 * n - 3, *(r.randrange(n) for _ in range(30))]:
         assert blinding.times(k, g) == plainly(k, g)
     assert blinding.times(5, None) is None and max(abs(x).bit_length() for x in blinding._halves(n - 12345)) <= 129
+
+
+def test_like_names_compared_once(spark):
+    """Few names of many persons: the fold sees each two names once; pairs are those of a comparison of all rows."""
+    from ringlight.functions import similarity
+    from ringlight.sources import bank_view
+
+    names = ["anna berg", "anna bergs", "ana berg", "otto", None, ""]
+    rows = [(i, i % 3 if i % 10 else None, names[i % 6 if i % 4 else i % 2], i % 7) for i in range(120)]
+    p = spark.createDataFrame(rows, "person_id long, block int, name string, onboard_day int")
+    got = bank_view.similar_pairs(p, ["block"], "name", 85.0)
+    pairs = [(a, b, max(da, db), na, nb) for a, ba, na, da in rows for b, bb, nb, db in rows if a < b and ba == bb is not None and None not in (na, nb)]
+    asked = spark.createDataFrame(pairs, "a long, b long, first_day int, na string, nb string").withColumn("score", similarity.indel_ratio(F.col("na"), F.col("nb"))).where("score >= 85").select("a", "b", "first_day", "score")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, asked.collect())) and asked.count() > 500
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert "lambdafunction" not in plan.lower()  # the fold's results stand in a checkpoint: it doesn't run on pairs of rows
