@@ -11,7 +11,7 @@ from ..functions import hashing, normalize, numeric
 from ..operators import alerts, blinding, casefiles, communities, crossbank, evaluation, features, graph, models, report
 from ..operators.components import component_sizes
 from ..operators.snapshot import snapshot
-from ..session import checkpointed, ship_package
+from ..session import checkpointed, ship_package, written
 from ..sources import bank_view, property_graph, tables, world
 from .binding import DAY, FIRST_YEAR, Tables
 
@@ -99,7 +99,7 @@ def row_builder(t):
     days = [*TRAIN_DAYS, *TEST_DAYS]
     stacked = None
     for day in days:
-        s = t.snapshot(day)["persons"]
+        s = t.snapshot(day, only=())["persons"]
         one = s.select("person_id", F.lit(day).alias("T"), "scored", (F.lit(day) - F.col("onboard_day")).alias("app_tenure_days"))
         stacked = one if stacked is None else stacked.unionByName(one)
     rows = evaluation.build_rows(stacked, _folded(t), TRAIN_DAYS, TEST_DAYS, CUTOFF, MAX_TENURE)
@@ -183,15 +183,15 @@ def live_key_counts(t):
 @query
 def xb_features(t):
     """Columns of other banks, by one round of encrypted counters."""
-    counts = checkpointed(_counts(t).withColumnRenamed("key", "token"))
+    counts = _counts(t).withColumnRenamed("key", "token")
     totals = crossbank.encrypted_totals(crossbank.round_requests(counts), COUNTER_BITS)
     return crossbank.xb_features(crossbank.bank_keys(t.pii()), _records(t), totals.withColumnsRenamed({"asker": "bank", "token": "key"}), DAY)
 
 
 @query
 def round_statistics(t):
-    counts = checkpointed(_counts(t).withColumnRenamed("key", "token"))
-    requests = checkpointed(crossbank.round_requests(counts))
+    counts = written(_counts(t).withColumnRenamed("key", "token"))
+    requests = crossbank.round_requests(counts)
     return crossbank.round_statistics(requests, crossbank.encrypted_totals(requests, COUNTER_BITS), counts, COUNTER_BITS)
 
 
@@ -278,15 +278,19 @@ def nid_mismatch(t):
     return _attrs(t, "lot").join(t.persons().select("person_id", "bank"), "person_id").groupBy("token").agg(F.count_distinct("person_id").alias("n_persons"), F.count_distinct("bank").alias("n_banks")).where("n_persons >= 2")
 
 
-def _features(t: Tables) -> DataFrame:
-    """The columns of one row a person that SQL can make too: all but components, communities and PageRank."""
+def _own_columns(t: Tables) -> DataFrame:
+    """The columns of one row a person from the person's own tables, ``app_*`` and ``beh_*``."""
 
     def build():
-        s = t.snapshot()
-        app = features.application(s["persons"], DAY, FIRST_YEAR)
-        return app.join(features.behaviour(s["monthly"], DAY), "person_id", "left").join(features.graph_counts(s, _snapshot_edges(t), MERCHANT_CAP), "person_id", "left")
+        s = t.snapshot(only=("monthly",))
+        return features.application(s["persons"], DAY, FIRST_YEAR).join(features.behaviour(s["monthly"], DAY), "person_id", "left")
+
+    return t.kept(f"own:{DAY}", build)
 
-    return t.kept(f"columns:{DAY}", build)
+
+def _features(t: Tables) -> DataFrame:
+    """The columns of one row a person that SQL can make too: all but components, communities and PageRank."""
+    return t.kept(f"columns:{DAY}", lambda: _own_columns(t).join(features.graph_counts(t.snapshot(), _snapshot_edges(t), MERCHANT_CAP), "person_id", "left"))
 
 
 @query
@@ -418,8 +422,9 @@ MODEL_COLUMNS = ["app_tenure_days", "app_income", "beh_months", "beh_late_count"
 
 
 def _training(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Rows to train on (three of four folds by hash) and all rows; the target is confirmation by T."""
-    rows = _features(t).join(_known(t).distinct().withColumn("y", F.lit(1)), "person_id", "left").withColumn("y", F.coalesce("y", F.lit(0)))
+    """Rows to train on (three of four folds by hash) and all rows; the target is confirmation by T. ``MODEL_COLUMNS`` has none of
+    the graph, so none is made."""
+    rows = _own_columns(t).join(_known(t).distinct().withColumn("y", F.lit(1)), "person_id", "left").withColumn("y", F.coalesce("y", F.lit(0)))
     rows = checkpointed(rows)
     return rows.where(hashing.uniform(SEED, F.col("person_id")) < 0.75), rows
 

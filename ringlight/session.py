@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable
 
@@ -26,6 +27,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet below the shared folder and read from there: a checkpoint of a table too large for rows that
+    aren't compressed. What earlier steps shuffled is let go."""
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark)}/tables-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    del df
+    release(spark)
+    return spark.read.parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Spark deletes shuffle files when the driver's garbage is collected, which may be hours away."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
     """The table ``key``, written as Parquet below the shared folder when first asked for in this application, and read
     from there ever after: filters and columns are pushed down to it."""
@@ -34,8 +52,9 @@ def stored(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> D
         sc._ringlight_stored = {}
     if key not in sc._ringlight_stored:
         path = f"{checkpoint_root(spark)}/tables-{uuid.uuid4().hex}"
-        build().write.parquet(path)
+        build().write.option("compression", "zstd").parquet(path)
         sc._ringlight_stored[key] = path
+        release(spark)
     return spark.read.parquet(sc._ringlight_stored[key])
 
 

@@ -221,3 +221,14 @@ def test_score_packs_rows_and_keeps_wide_ones(spark):
     rows = spark.createDataFrame([(i, v, -v if v else 1.0) for i, v in enumerate(values)], "id long, a double, b double").coalesce(1)
     got = {r.id: r.logit for r in blinding.encrypted_score(rows, "id", {"a": 0.5, "b": -0.75}, 2.0, 512).collect()}
     assert got == {i: pytest.approx(2.0 + 0.5 * (v or 0.0) - 0.75 * (-v if v else 1.0), rel=1e-9, abs=1e-9) for i, v in enumerate(values)}
+
+
+def test_training_makes_no_graph(spark, smallest):
+    """The models on a person's own columns store neither visits nor the projection."""
+    from ringlight.plans import queries
+    from ringlight.plans.binding import Tables
+
+    spark.sparkContext._ringlight_stored = {}
+    train, rows = queries._training(Tables(spark, smallest))
+    made = {k[1].split(":")[0] for k in spark.sparkContext._ringlight_stored}
+    assert "own" in made and not made & {"projection", "columns", "paid_at", "attr"} and 0 < train.count() < rows.count()
