@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import checkpointed, written
 
 #: Edges of a node from which on it counts as a hub, and the most hubs that a round can have.
 HUB_EDGES, HUBS = 1_000_000, 10_000
@@ -54,3 +54,19 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 def component_sizes(edges: DataFrame, least: int = 1) -> DataFrame:
     """component, size of the components with ``least`` nodes or more."""
     return connected_components(edges).groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") >= least)
+
+
+def holder_component_sizes(attrs: DataFrame, least: int = 1) -> DataFrame:
+    """``component_sizes(graph.bipartite(attrs), least)`` for integer persons: attributes never enter the rounds. Each links
+    its holders to the least of them, and is counted where that person is. A component is named by its least node."""
+    held = attrs.where(F.col("person_id").isNotNull()).select("person_id", F.concat_ws(":", F.col("attr_type"), F.col("token").cast("string")).alias("t"))
+    tokens = held.groupBy("t").agg(F.min("person_id").alias("lead"), F.max("person_id").alias("last"))
+    # Made twice, and each time its shuffle goes before the next one: both are small beside the table.
+    leads = written(tokens.groupBy("lead").agg(F.min("t").alias("t"), F.count("*").alias("n")))
+    shared = written(tokens.where("lead <> last").drop("last"))
+    found = connected_components(held.join(shared, "t").select("person_id", "lead"), "person_id", "lead")
+    who = lambda c: found.select(F.col("node").alias(c), "component")
+    one = lambda df, c, name, n: df.join(who(c), c, "left").select(F.coalesce("component", c).alias("c"), name.alias("name"), n.alias("n"))
+    persons = one(held.select("person_id").distinct(), "person_id", F.concat(F.lit("Person:"), F.col("person_id").cast("string")), F.lit(1))
+    both = persons.unionByName(one(leads, "lead", F.col("t"), F.col("n")))
+    return both.groupBy("c").agg(F.min("name").alias("component"), F.sum("n").alias("size")).where(F.col("size") >= least).select("component", "size")

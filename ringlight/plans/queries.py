@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing, normalize, numeric
 from ..operators import alerts, blinding, casefiles, communities, crossbank, evaluation, features, graph, models, report
-from ..operators.components import component_sizes
+from ..operators.components import component_sizes, holder_component_sizes
 from ..operators.snapshot import snapshot
 from ..session import checkpointed, ship_package, written
 from ..sources import bank_view, property_graph, tables, world
@@ -226,7 +226,7 @@ def wcc_sizes(t):
 @query
 def identity_wcc(t):
     """Components of more than 5 nodes of persons and their strong attributes (undirected, six labels)."""
-    return component_sizes(graph.bipartite(_attrs(t, "email", "device")), 6)
+    return holder_component_sizes(_attrs(t, "email", "device"), 6)
 
 
 @query

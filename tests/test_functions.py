@@ -250,3 +250,14 @@ def test_round_draws_the_least_hashes(spark):
             n = sum(r.asker == a and r.bank == b and r.real for r in got) // 2
             pool = sorted((hashed[a, b, t], t or "") for x, t in held if x == b and (a, t) not in held)
             assert sorted((r.h, r.token or "") for r in got if (r.asker, r.bank, r.real) == (a, b, False)) == pool[:n]
+
+
+def test_components_of_holders(spark):
+    """Persons and attributes in one graph, against the rounds over all nodes: chains, tokens of one, a name that sorts before persons'."""
+    from ringlight.operators import graph
+    from ringlight.operators.components import component_sizes, holder_component_sizes
+
+    rows = [(p, k, f"{(p * 7 + j * 5) // 3 % 40}") for p in range(60) for j, k in enumerate(("a", "z")) if p % 9] + [(100, "a", "only"), (101, "A", "first"), (101, "a", "x"), (None, "a", "x")]
+    attrs = spark.createDataFrame(rows, "person_id long, attr_type string, token string")
+    for least in (1, 3):
+        assert sorted(map(tuple, holder_component_sizes(attrs, least).collect())) == sorted(map(tuple, component_sizes(graph.bipartite(attrs.where("person_id is not null")), least).collect()))
