@@ -295,7 +295,9 @@ def _features(t: Tables) -> DataFrame:
 
 @query
 def rules_score(t):
-    return features.rules_score(_features(t)).select("person_id", six(F.col("rules"), "score"))
+    """Of the graph, the rules read shares and mismatches of three kinds alone: no projection is made for them."""
+    rows = _own_columns(t).join(t.kept(f"rules:{DAY}", lambda: features.rule_counts(t.snapshot(kinds=("nid", "phone", "device"), only=("person_attr",)))), "person_id", "left")
+    return features.rules_score(rows).select("person_id", six(F.col("rules"), "score"))
 
 
 AUDIT = ["app_tenure_days", "app_income", "beh_months", "beh_late_count", "g_share_phone", "g_proj_degree"]

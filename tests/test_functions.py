@@ -261,3 +261,17 @@ def test_components_of_holders(spark):
     attrs = spark.createDataFrame(rows, "person_id long, attr_type string, token string")
     for least in (1, 3):
         assert sorted(map(tuple, holder_component_sizes(attrs, least).collect())) == sorted(map(tuple, component_sizes(graph.bipartite(attrs.where("person_id is not null")), least).collect()))
+
+
+def test_rule_counts_are_the_graph_counts(spark, smallest):
+    from ringlight.plans import queries
+    from ringlight.plans.binding import Tables
+
+    t = Tables(spark, smallest)
+    mine = features.rule_counts(t.snapshot(kinds=("nid", "phone", "device")))
+    whole = queries._features(t).select(*mine.columns)
+    assert sorted(map(tuple, mine.collect())) == sorted(map(tuple, whole.collect()))
+    spark.sparkContext._ringlight_stored = {}
+    queries.QUERIES["rules_score"](spark, smallest).count()
+    made = {k[1].split(":")[0] for k in spark.sparkContext._ringlight_stored}
+    assert "own" in made and not made & {"projection", "columns", "paid_at"}
