@@ -275,3 +275,39 @@ def test_rule_counts_are_the_graph_counts(spark, smallest):
     queries.QUERIES["rules_score"](spark, smallest).count()
     made = {k[1].split(":")[0] for k in spark.sparkContext._ringlight_stored}
     assert "own" in made and not made & {"projection", "columns", "paid_at"}
+
+
+def test_blocks_are_the_projection(spark, monkeypatch):
+    """Counts, components, communities and ranks from lists in blocks, in several passes, against the table of edges."""
+    from ringlight.operators import blocks, communities, graph
+
+    monkeypatch.setattr(blocks, "BLOCK_PAIRS", 150)
+    monkeypatch.setattr(blocks, "PASS_PAIRS", 500)
+    monkeypatch.setattr(blocks, "HELD_PAIRS", 200)
+    r = random.Random(5)
+    attr = {(r.randrange(70), k, f"{k}{r.randrange(5 if k == 'employer' else 60)}") for k in features.ATTR_TYPES for _ in range(60)}
+    visits = {(r.randrange(70), f"m{r.randrange(30)}") for _ in range(60)}
+    pairs = {(a, b) for a, b in ((r.randrange(80), r.randrange(80)) for _ in range(25)) if a != b} | {(1, 2), (2, 1), (90, 91)}
+    frame = spark.createDataFrame
+    s = {
+        "persons": frame([(7 * p + 3, p % 6 == 0, f"id{p % 20}") for p in range(100)], "person_id long, known_fraud boolean, id_token string"),
+        "person_attr": frame([(7 * p + 3, k, v) for p, k, v in attr], "person_id long, attr_type string, token string"), "paid_at": frame([(7 * p + 3, v) for p, v in visits], "person_id long, merchant_token string"),
+        "transfers": frame([(7 * a + 3, 7 * b + 3) for a, b in pairs], "src long, dst long"), "authorized_users": frame([(7 * p + 3, 3) for p in range(1, 9)], "person_id long, host_person_id long"),
+        "similar": frame([(7 * p + 3, 7 * p + 73) for p in range(12)], "a long, b long"),
+    }
+    edges = graph.projection([(s["person_attr"], "token", 6), (s["paid_at"], "merchant_token", 4)], [(s["transfers"], "src", "dst"), (s["authorized_users"], "person_id", "host_person_id"), (s["similar"], "a", "b")]).cache()
+    nodes, n, lists = features.graph_lists(s, 6, 4)
+    size, passes = blocks.block_size(lists, n)
+    assert passes > 1 and size < 40 and n == 100
+    folder = blocks.shared_folder(spark, "graph")
+    one = features.listed_graph_counts(s, nodes, n, lists, (folder, size)).toPandas().set_index("person_id").sort_index()
+    other = features.graph_counts(s, edges, 4).toPandas().set_index("person_id").sort_index()[one.columns]
+    assert len(one) == 100 and (one - other).abs().max().max() < 1e-9 and (one.max() > 0).all()
+    got = features.graph_groups(nodes, blocks.Graph(spark, folder, size, n)).toPandas().set_index("person_id").sort_index()
+    labels = dict(map(tuple, communities.communities(edges).collect()))
+    ranks = dict(map(tuple, graph.pagerank(edges, s["persons"]).collect()))
+    parts = dict(map(tuple, connected_components(edges).collect()))
+    sizes = {c: list(parts.values()).count(c) for c in set(parts.values())}
+    assert {p: c for p, c in got.community.items() if c == c} == labels and len(set(labels.values())) > 2
+    assert all(abs(got.g_pagerank[p] - x) < 1e-9 for p, x in ranks.items()) and len(ranks) == len(got) == 100
+    assert all(got.g_wcc_size[p] == sizes.get(parts.get(p), 1) for p in got.index)
