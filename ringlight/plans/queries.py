@@ -147,14 +147,19 @@ def beh_features_six(t):
     return _rounded(features.behaviour_recent(_months(t), DAY))
 
 
-def _snapshot_edges(t: Tables) -> DataFrame:
-    """The projection of the day's snapshot over all seven attribute types, stored once."""
-    return t.kept(f"projection:{DAY}", lambda: features.snapshot_projection(t.snapshot(), TOKEN_CAP, MERCHANT_CAP))
+def _graph_counts(t: Tables) -> DataFrame:
+    """Of the day's snapshot over all seven attribute types, by lists in blocks: the projection itself is never stored."""
+
+    def build():
+        s = t.graph_snapshot()
+        return features.listed_graph_counts(s, *features.graph_lists(s, TOKEN_CAP, MERCHANT_CAP))
+
+    return t.kept(f"graph:{DAY}", build)
 
 
 @query
 def graph_features(t):
-    return _rounded(features.graph_counts(t.snapshot(), _snapshot_edges(t), MERCHANT_CAP))
+    return _rounded(_graph_counts(t))
 
 
 def _feature_table(t: Tables) -> DataFrame:
@@ -290,7 +295,7 @@ def _own_columns(t: Tables) -> DataFrame:
 
 def _features(t: Tables) -> DataFrame:
     """The columns of one row a person that SQL can make too: all but components, communities and PageRank."""
-    return t.kept(f"columns:{DAY}", lambda: _own_columns(t).join(features.graph_counts(t.snapshot(), _snapshot_edges(t), MERCHANT_CAP), "person_id", "left"))
+    return t.kept(f"columns:{DAY}", lambda: _own_columns(t).join(_graph_counts(t), "person_id", "left"))
 
 
 @query

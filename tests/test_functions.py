@@ -311,3 +311,12 @@ def test_blocks_are_the_projection(spark, monkeypatch):
     assert {p: c for p, c in got.community.items() if c == c} == labels and len(set(labels.values())) > 2
     assert all(abs(got.g_pagerank[p] - x) < 1e-9 for p, x in ranks.items()) and len(ranks) == len(got) == 100
     assert all(got.g_wcc_size[p] == sizes.get(parts.get(p), 1) for p in got.index)
+
+
+def test_graph_columns_store_no_projection(spark, smallest):
+    """Neither edges nor attributes by type are stored for the columns of the graph."""
+    for name in ("graph_features",):
+        spark.sparkContext._ringlight_stored = {}
+        assert queries.QUERIES[name](spark, smallest).count()
+        made = {k[1].split(":")[0] for k in spark.sparkContext._ringlight_stored}
+        assert made & {"graph", "audited"} and not made & {"projection", "columns", "paid_at", "attr"}
