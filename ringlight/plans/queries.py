@@ -308,9 +308,21 @@ def rules_score(t):
 AUDIT = ["app_tenure_days", "app_income", "beh_months", "beh_late_count", "g_share_phone", "g_proj_degree"]
 
 
+def _audited(t: Tables) -> DataFrame:
+    """The columns of ``AUDIT``, and what it is held against: of the graph, shared phones and degrees alone."""
+
+    def build():
+        own = _own_columns(t).select("person_id", "app_has_employer", *[c for c in AUDIT if not c.startswith("g_")])
+        graph_ = features.list_counts(*features.graph_lists(t.graph_snapshot(), TOKEN_CAP, MERCHANT_CAP), hops=False)
+        zero = [F.coalesce(c, F.lit(0.0)).alias(c) for c in AUDIT if c.startswith("g_")]
+        return own.join(graph_, "person_id", "left").select(*own.columns, *zero)
+
+    return t.kept(f"audited:{DAY}", build)
+
+
 @query
 def shortcut_audit(t):
-    f = _features(t).withColumn("y", F.col("app_has_employer"))
+    f = _audited(t).withColumn("y", F.col("app_has_employer"))
     return features.univariate_audit(f, "y", AUDIT).select("feature", six(F.col("auc"), "auc"), "suspect")
 
 
