@@ -631,6 +631,6 @@ def relational_scores(t):
 
 @query
 def scaled_features(t):
-    f = _features(t)
+    f = _audited(t)
     x = models.scaled(f, models.fit_scaler(f, AUDIT))
     return x.select("person_id", "missing", *[six(F.col(c), c) for c in AUDIT])

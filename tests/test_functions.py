@@ -315,7 +315,7 @@ def test_blocks_are_the_projection(spark, monkeypatch):
 
 def test_graph_columns_store_no_projection(spark, smallest):
     """Neither edges nor attributes by type are stored for the columns of the graph."""
-    for name in ("graph_features", "shortcut_audit"):
+    for name in ("graph_features", "scaled_features", "shortcut_audit"):
         spark.sparkContext._ringlight_stored = {}
         assert queries.QUERIES[name](spark, smallest).count()
         made = {k[1].split(":")[0] for k in spark.sparkContext._ringlight_stored}
