@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +13,8 @@ from ..session import checkpointed, written
 
 #: Edges of a node from which on it counts as a hub, and the most hubs that a round can have.
 HUB_EDGES, HUBS = 1_000_000, 10_000
+#: Pairs that a task holds before it joins them, joined persons from which on it passes them on, and tables of stars that one task merges.
+HELD, JOINED, MERGED = 4_000_000, 3_000_000, 8
 
 
 def _with_least(edges: DataFrame, least: DataFrame, hub: int | None) -> DataFrame:
@@ -70,3 +76,130 @@ def holder_component_sizes(attrs: DataFrame, least: int = 1) -> DataFrame:
     persons = one(held.select("person_id").distinct(), "person_id", F.concat(F.lit("Person:"), F.col("person_id").cast("string")), F.lit(1))
     both = persons.unionByName(one(leads, "lead", F.col("t"), F.col("n")))
     return both.groupBy("c").agg(F.min("name").alias("component"), F.sum("n").alias("size")).where(F.col("size") >= least).select("component", "size")
+
+
+def _least(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids of the pairs, sorted, and the least id that each is connected to."""
+    ids, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, label = place[: len(a)], place[len(a) :], np.arange(len(ids))
+    while len(a):
+        la, lb = label[a], label[b]
+        apart = np.flatnonzero(la != lb)
+        a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
+        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
+        while ((up := label[label]) != label).any():
+            label = up
+    return ids, ids[label]
+
+
+class _Stars:
+    """Pairs of persons (a >= b) and tokens counted on a person, kept as u, v, n: each person with the least it is connected to here,
+    and with the tokens that were counted on the ones connected to it if it is that least."""
+
+    def __init__(self):
+        self.pairs, self.held = [], 0
+
+    def add(self, a: np.ndarray, b: np.ndarray, n: np.ndarray):
+        """What is to be passed on, if it has grown beyond ``JOINED`` persons."""
+        self.pairs.append((a, b, n))
+        self.held += len(a)
+        if self.held >= HELD:
+            self.join()
+            if self.held >= JOINED:
+                yield from self.rows()
+
+    def join(self) -> None:
+        if self.pairs:
+            a, b, n = (np.concatenate(x) for x in zip(*self.pairs, strict=True))
+            ids, least = _least(a, b)
+            some = np.flatnonzero(n)
+            total = np.zeros(len(ids), "i8")
+            np.add.at(total, np.searchsorted(ids, least[np.searchsorted(ids, b[some])]), n[some])
+            self.pairs, self.held = [(ids, least, total)], len(ids)
+
+    def rows(self):
+        self.join()
+        for x in self.pairs:
+            yield from pa.Table.from_arrays([*map(pa.array, x)], names=["u", "v", "n"]).to_batches(1 << 17)
+        self.pairs, self.held = [], 0
+
+
+def _linked(batches, schemes: dict[str, tuple[str, ...]], by: str):
+    """Stars of lines that come sorted by ``by``, and the tokens of lines where a column of theirs is null, as strings. A token whose lines
+    go on in the next batch is carried there with its least holder."""
+    stars, carried, odd = _Stars(), {k: None for k in schemes}, {"u": [], "t": []}
+    empty = {"t": pa.string()}
+
+    def whole(batch):
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(batch.num_rows, empty["t"])], names=["u", "v", "n", "t"])
+
+    def passed():
+        if odd["u"]:
+            yield pa.RecordBatch.from_arrays([pa.array(odd["u"]), pa.array(odd["u"]), pa.array([0] * len(odd["u"])), pa.array(odd["t"])], names=["u", "v", "n", "t"])
+            odd["u"], odd["t"] = [], []
+
+    def closed(lines, valid, last):
+        """Links and counts of the lines and what was carried; tokens of ``last`` (none: all lines were read) are carried on."""
+        for kind, columns in schemes.items():
+            which = np.flatnonzero(np.logical_and.reduce([valid[c] for c in columns])) if lines else []
+            parts = [[lines[c][which] for c in ("person_id", *columns)]] if len(which) else []
+            if carried[kind] is not None:
+                parts.append(carried[kind])
+            carried[kind] = None
+            if not parts:
+                continue
+            who, *keys = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort([who, *keys[::-1]])
+            who, keys = who[order], [k[order] for k in keys]
+            new = np.ones(len(who), bool)
+            new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+            first = np.flatnonzero(new)
+            lead, of = who[first], np.cumsum(new) - 1
+            open_ = keys[columns.index(by)][first] == last if last is not None else np.zeros(len(first), bool)
+            if open_.any():
+                carried[kind] = [x[first[open_]] for x in (who, *keys)]
+            yield from stars.add(who, lead[of], (new & ~open_[of]).astype("i8"))
+
+    for batch in batches:
+        column = {c: batch.column(batch.schema.get_field_index(c)) for c in batch.schema.names}
+        valid = {c: x.is_valid().to_numpy(zero_copy_only=False) for c, x in column.items()}
+        lines = {c: x.fill_null(0).cast(pa.int64()).to_numpy() for c, x in column.items()}
+        if not batch.num_rows:
+            continue
+        for kind, columns in schemes.items():
+            for i in np.flatnonzero(~np.logical_and.reduce([valid[c] for c in columns])).tolist():
+                odd["u"].append(int(lines["person_id"][i]))
+                odd["t"].append(":".join([kind, *(str(lines[c][i]) for c in columns if valid[c][i])]))
+        last = int(lines[by][-1]) if valid[by][-1] else None
+        for x in closed(lines, valid, last):
+            yield whole(x)
+        yield from passed()
+    for x in (*closed(None, None, None), *stars.rows()):
+        yield whole(x)
+
+
+def _merged(batches):
+    stars = _Stars()
+    for batch in batches:
+        yield from stars.add(*(batch.column(batch.schema.get_field_index(c)).to_numpy() for c in "uvn"))
+    yield from stars.rows()
+
+
+def line_component_sizes(lines: DataFrame, schemes: dict[str, tuple[str, ...]], by: str, least: int = 1) -> DataFrame:
+    """``holder_component_sizes`` of the attributes that ``schemes`` (type: the columns whose values, joined by colons without nulls, are a
+    token) make of ``lines`` (person_id and whole numbers), without a table of attributes. All schemes have the column ``by``: one shuffle
+    by it brings the holders of each token together, a task keeps of them the least that each person is connected to there, and the
+    rounds have only that. Types sort after "Person:", so no token names a component."""
+    if late := [k for k in schemes if not k > "Person:" or by not in schemes[k]]:
+        raise ValueError(f"types that could name a component, or without {by}: {late}")
+    columns = sorted({c for x in schemes.values() for c in x})
+    sorted_ = lines.where("person_id is not null").select("person_id", *columns).sortWithinPartitions(by)
+    found = written(sorted_.mapInArrow(partial(_linked, schemes=schemes, by=by), "u long, v long, n long, t string"))
+    odd = found.where("t is not null").select("u", "t")
+    leads = odd.groupBy("t").agg(F.min("u").alias("v"))
+    odd = odd.join(leads, "t").select("u", "v", F.lit(0).cast("long").alias("n")).unionByName(leads.select(F.col("v").alias("u"), "v", F.lit(1).cast("long").alias("n")))
+    stars = found.where("t is null").select("u", "v", "n")
+    stars = written(stars.coalesce(max(1, stars.rdd.getNumPartitions() // MERGED)).mapInArrow(_merged, "u long, v long, n long").unionByName(odd))
+    own = stars.groupBy("u").agg(F.sum("n").alias("n")).join(connected_components(stars, "u", "v").select(F.col("node").alias("u"), "component"), "u", "left")
+    name = F.concat(F.lit("Person:"), F.col("u").cast("string"))
+    return own.groupBy(F.coalesce("component", "u").alias("c")).agg(F.min(name).alias("component"), (F.count("*") + F.sum("n")).alias("size")).where(F.col("size") >= least).select("component", "size")

@@ -177,7 +177,7 @@ ORACLE_SQL = {
     "known_links": with_tables("links", "SELECT person_id, CAST(known_links AS BIGINT) AS known_links FROM links"),
     "fraud_hops": with_tables("lot known", "+h AS (SELECT src, count(*) AS hop1 FROM lot WHERE dst IN (SELECT person_id FROM known) GROUP BY 1), two AS (SELECT lot.src, sum(hop1) AS hop2 FROM lot JOIN h ON h.src = lot.dst GROUP BY 1)\nSELECT person_id, CAST(coalesce(hop1, 0) AS BIGINT) AS hop1, CAST(coalesce(hop2, 0) AS BIGINT) AS hop2 FROM (SELECT DISTINCT src AS person_id FROM lot) LEFT JOIN h ON h.src = person_id LEFT JOIN two ON two.src = person_id WHERE hop1 > 0 OR hop2 > 0"),
     "wcc_sizes": with_tables("lot", "+e AS MATERIALIZED (SELECT DISTINCT src, dst FROM lot), reach(node, goal) AS (SELECT src, src FROM e UNION SELECT reach.node, e.dst FROM reach JOIN e ON e.src = reach.goal)\nSELECT component, count(*) AS size FROM (SELECT node, min(goal) AS component FROM reach GROUP BY 1) GROUP BY 1", recursive=True),
-    "identity_wcc": with_tables("pattr", f"+b AS MATERIALIZED (SELECT DISTINCT 'Person:' || person_id AS p, attr_type || ':' || token AS t FROM pattr WHERE attr_type IN ('email', 'device') AND first_day <= {DAY}), e AS MATERIALIZED (SELECT DISTINCT x.p AS src, y.p AS dst FROM b x JOIN b y USING (t)), reach(node, goal) AS (SELECT src, src FROM e UNION SELECT reach.node, e.dst FROM reach JOIN e ON e.src = reach.goal), m AS (SELECT node, min(goal) AS least FROM reach GROUP BY 1), z AS (SELECT least, count(*) AS n FROM m GROUP BY 1 UNION ALL SELECT least, count(DISTINCT t) FROM m JOIN b ON b.p = m.node GROUP BY 1)\nSELECT least AS component, CAST(sum(n) AS BIGINT) AS size FROM z GROUP BY 1 HAVING sum(n) >= 6", recursive=True),
+    "identity_wcc": with_tables("pattr", f"+b AS MATERIALIZED (SELECT DISTINCT 'Person:' || person_id AS p, attr_type || ':' || token AS t FROM pattr WHERE attr_type IN ('nid', 'phone', 'email', 'address', 'device')), e AS MATERIALIZED (SELECT DISTINCT x.p AS src, y.p AS dst FROM b x JOIN b y USING (t)), reach(node, goal) AS (SELECT src, src FROM e UNION SELECT reach.node, e.dst FROM reach JOIN e ON e.src = reach.goal), m AS (SELECT node, min(goal) AS least FROM reach GROUP BY 1), z AS (SELECT least, count(*) AS n FROM m GROUP BY 1 UNION ALL SELECT least, count(DISTINCT t) FROM m JOIN b ON b.p = m.node GROUP BY 1)\nSELECT least AS component, CAST(sum(n) AS BIGINT) AS size FROM z GROUP BY 1 HAVING sum(n) >= 6", recursive=True),
     "pagerank": with_tables("lot persons", _pagerank()),
     "transfer_counterparties": with_tables("transfers", f"+m AS ({_TRANSFER})\nSELECT coalesce(a.src, b.dst) AS person_id, coalesce(n_out, 0) AS n_out, coalesce(n_in, 0) AS n_in FROM (SELECT src, count(DISTINCT dst) AS n_out FROM m GROUP BY 1) a FULL JOIN (SELECT dst, count(DISTINCT src) AS n_in FROM m GROUP BY 1) b ON a.src = b.dst"),
     "transfer_rollup": with_tables("transfers", "SELECT src, dst, CAST(sum(n) AS BIGINT) AS n, round(sum(amount), 2) AS amount, min(month) AS first_month, max(month) AS last_month FROM transfers GROUP BY 1, 2"),

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing, normalize, numeric
 from ..operators import alerts, blinding, casefiles, communities, crossbank, evaluation, features, graph, models, report
-from ..operators.components import component_sizes, holder_component_sizes
+from ..operators.components import component_sizes, line_component_sizes
 from ..operators.snapshot import snapshot
 from ..session import checkpointed, ship_package, written
 from ..sources import bank_view, property_graph, tables, world
-from .binding import DAY, FIRST_YEAR, Tables
+from .binding import DAY, FIRST_YEAR, SCHEMES, Tables
 
 TOKEN_CAP, MERCHANT_CAP, HUB_CAP, TARGET, BUDGET = 30, 15, 20, 0.01, 0.02
 #: Key sizes of the registered demonstrations; the operators' own default is 3072.
@@ -230,8 +230,8 @@ def wcc_sizes(t):
 
 @query
 def identity_wcc(t):
-    """Components of more than 5 nodes of persons and their strong attributes (undirected, six labels)."""
-    return holder_component_sizes(_attrs(t, "email", "device"), 6)
+    """Components of more than 5 nodes of persons and their strong attributes (undirected, six labels), whatever the day."""
+    return line_component_sizes(t.lines("l_partkey"), {k: SCHEMES[k] for k in features.STRONG_TYPES}, "l_partkey", 6)
 
 
 @query

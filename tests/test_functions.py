@@ -263,6 +263,43 @@ def test_components_of_holders(spark):
         assert sorted(map(tuple, holder_component_sizes(attrs, least).collect())) == sorted(map(tuple, component_sizes(graph.bipartite(attrs.where("person_id is not null")), least).collect()))
 
 
+def test_components_of_lines(spark, monkeypatch):
+    """Tokens made of lines on the way, against a table of attributes: small and large batches, tasks that pass on early, hubs, repeated lines, and
+    nulls that make two different lines' tokens one."""
+    from ringlight.operators import components
+
+    r = random.Random(3)
+    some = lambda n, p=0.0: None if r.random() < p else r.randrange(n)
+    rows = [(some(90, 0.03), some(50, 0.1) if i % 3 else 7, some(4, 0.1), some(3, 0.1)) for i in range(130)] * 2 + [(200, 60, 1, 1), (201, 60, 1, 2), (202, None, 60, 2)]
+    lines = spark.createDataFrame(rows, "person_id long, part long, supp int, day int")
+    schemes = {"nid": ("part", "supp"), "year": ("day", "part"), "lot": ("part", "supp", "day")}
+    parts = [lines.select("person_id", F.lit(k).alias("attr_type"), F.concat_ws(":", F.lit(k), *c).alias("token")) for k, c in schemes.items()]
+    attrs = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    for batch, held, joined in ((10_000, 4_000_000, 3_000_000), (3, 20, 10)):
+        monkeypatch.setattr(components, "HELD", held)
+        monkeypatch.setattr(components, "JOINED", joined)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            for least in (1, 4):
+                got = components.line_component_sizes(lines.repartition(3, "part"), schemes, "part", least).collect()
+                assert sorted(map(tuple, got)) == sorted(map(tuple, components.holder_component_sizes(attrs, least).collect()))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    with pytest.raises(ValueError):
+        components.line_component_sizes(lines, {"Nid": ("part",)}, "part")
+
+
+def test_identity_wcc_reads_all_strong_kinds_and_days(spark, tmp_path):
+    """A national id and an address link persons too, also by orders after the day of the snapshot."""
+    from ringlight.plans import queries
+
+    day = "timestamp'2001-06-01 00:00:00'"
+    spark.range(1).selectExpr("1L as c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(3).selectExpr("id as o_orderkey", "id + 1 as o_custkey", f"{day} + make_dt_interval(cast(id * 400 as int)) as o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(3).selectExpr("id as l_orderkey", "5L as l_partkey", "6L as l_suppkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert [tuple(r) for r in queries.QUERIES["identity_wcc"](spark, str(tmp_path)).collect()] == [("Person:1", 3 + 1 + 4 * 3)]
+
+
 def test_rule_counts_are_the_graph_counts(spark, smallest):
     from ringlight.plans import queries
     from ringlight.plans.binding import Tables
