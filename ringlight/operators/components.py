@@ -96,16 +96,16 @@ class _Stars:
     """Pairs of persons (a >= b) and tokens counted on a person, kept as u, v, n: each person with the least it is connected to here,
     and with the tokens that were counted on the ones connected to it if it is that least."""
 
-    def __init__(self):
-        self.pairs, self.held = [], 0
+    def __init__(self, most: tuple[int, int]):
+        self.most, self.pairs, self.held = most, [], 0
 
     def add(self, a: np.ndarray, b: np.ndarray, n: np.ndarray):
-        """What is to be passed on, if it has grown beyond ``JOINED`` persons."""
+        """What is to be passed on, if more than ``most`` pairs were held and they join more than ``most`` persons."""
         self.pairs.append((a, b, n))
         self.held += len(a)
-        if self.held >= HELD:
+        if self.held >= self.most[0]:
             self.join()
-            if self.held >= JOINED:
+            if self.held >= self.most[1]:
                 yield from self.rows()
 
     def join(self) -> None:
@@ -124,10 +124,10 @@ class _Stars:
         self.pairs, self.held = [], 0
 
 
-def _linked(batches, schemes: dict[str, tuple[str, ...]], by: str):
+def _linked(batches, schemes: dict[str, tuple[str, ...]], by: str, most: tuple[int, int]):
     """Stars of lines that come sorted by ``by``, and the tokens of lines where a column of theirs is null, as strings. A token whose lines
     go on in the next batch is carried there with its least holder."""
-    stars, carried, odd = _Stars(), {k: None for k in schemes}, {"u": [], "t": []}
+    stars, carried, odd = _Stars(most), {k: None for k in schemes}, {"u": [], "t": []}
     empty = {"t": pa.string()}
 
     def whole(batch):
@@ -178,8 +178,8 @@ def _linked(batches, schemes: dict[str, tuple[str, ...]], by: str):
         yield whole(x)
 
 
-def _merged(batches):
-    stars = _Stars()
+def _merged(batches, most: tuple[int, int]):
+    stars = _Stars(most)
     for batch in batches:
         yield from stars.add(*(batch.column(batch.schema.get_field_index(c)).to_numpy() for c in "uvn"))
     yield from stars.rows()
@@ -194,12 +194,12 @@ def line_component_sizes(lines: DataFrame, schemes: dict[str, tuple[str, ...]],
         raise ValueError(f"types that could name a component, or without {by}: {late}")
     columns = sorted({c for x in schemes.values() for c in x})
     sorted_ = lines.where("person_id is not null").select("person_id", *columns).sortWithinPartitions(by)
-    found = written(sorted_.mapInArrow(partial(_linked, schemes=schemes, by=by), "u long, v long, n long, t string"))
+    found = written(sorted_.mapInArrow(partial(_linked, schemes=schemes, by=by, most=(HELD, JOINED)), "u long, v long, n long, t string"))
     odd = found.where("t is not null").select("u", "t")
     leads = odd.groupBy("t").agg(F.min("u").alias("v"))
     odd = odd.join(leads, "t").select("u", "v", F.lit(0).cast("long").alias("n")).unionByName(leads.select(F.col("v").alias("u"), "v", F.lit(1).cast("long").alias("n")))
     stars = found.where("t is null").select("u", "v", "n")
-    stars = written(stars.coalesce(max(1, stars.rdd.getNumPartitions() // MERGED)).mapInArrow(_merged, "u long, v long, n long").unionByName(odd))
+    stars = written(stars.coalesce(max(1, stars.rdd.getNumPartitions() // MERGED)).mapInArrow(partial(_merged, most=(HELD, JOINED)), "u long, v long, n long").unionByName(odd))
     own = stars.groupBy("u").agg(F.sum("n").alias("n")).join(connected_components(stars, "u", "v").select(F.col("node").alias("u"), "component"), "u", "left")
     name = F.concat(F.lit("Person:"), F.col("u").cast("string"))
     return own.groupBy(F.coalesce("component", "u").alias("c")).agg(F.min(name).alias("component"), (F.count("*") + F.sum("n")).alias("size")).where(F.col("size") >= least).select("component", "size")
