@@ -357,3 +357,34 @@ def test_graph_columns_store_no_projection(spark, smallest):
         assert queries.QUERIES[name](spark, smallest).count()
         made = {k[1].split(":")[0] for k in spark.sparkContext._ringlight_stored}
         assert made & {"graph", "audited"} and not made & {"projection", "columns", "paid_at", "attr"}
+
+
+def test_volumes_are_made_once_a_round(spark):
+    """Sums of degrees by label over several ranges of labels; blocks that move read them and never the labels of all persons."""
+    import inspect
+
+    from ringlight.operators import blocks
+
+    g = blocks.Graph(spark, blocks.shared_folder(spark, "volumes"), 40, 100)
+    labels, degree = g.state("u4"), g.state("f8")
+    at, k = np.arange(100, dtype="u4") * 7 % 30, np.arange(100) / 4
+    blocks._put(labels, 0, at)
+    blocks._put(degree, 0, k)
+    for span in (17, 1 << 22):
+        assert np.array_equal(blocks._get(blocks.volumes(g, labels, degree, span), "f8"), np.bincount(at, k, 100))
+    assert "volume" in inspect.signature(blocks._move_task).parameters
+
+
+def test_fits_of_one_table_are_the_fits_alone(spark):
+    """Trees on each feature set, fitted side by side, against each fitted alone."""
+    from ringlight.operators import models
+
+    named = {c: F.when(F.col("person_id") % 5 == 0, 1).otherwise(0) for c in ("g_share_phone", "g_share_device", "g_nid_identity_mismatch", "beh_lir_count")}
+    app = {c: F.rand(i) for i, c in enumerate(("app_address_mail_drop", "app_address_commercial", "app_email_age_at_onboard", "app_phone_voip", "app_ip_datacenter", "app_ip_vpn", "app_email_disposable", "app_device_emulator"))}
+    rows = spark.range(240).select(F.col("id").alias("person_id"), F.lit(1).alias("T"), (F.col("id") % 10 == 0).cast("int").alias("y"), F.when(F.col("id") % 4 == 0, "test").otherwise("train").alias("split")).withColumns(named | app).localCheckpoint()
+    out, info = models.model_scores(rows, trees=3)
+    assert list(info) == ["tab", "graph"] and out.count() == 60
+    train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
+    for name, columns in models.feature_sets(rows.columns).items():
+        alone = models.boosted_trees(train, test, columns, "y", trees=3).select("person_id", "score")
+        assert out.join(alone, "person_id").where(F.abs(F.col(f"trees_{name}") - F.col("score")) > 1e-9).count() == 0
